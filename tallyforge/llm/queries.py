@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_groups
+from .packing import pack
+from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 
@@ -17,12 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight contiguous shards of near equal bytes."""
+    done = byte_shards(table(spark, sf_dir, "documents"), shards=8)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that a 50-byte string of an earlier document covers."""
     done = dedup_suffixes(table(spark, sf_dir, "documents"), window=50)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens."""
+    done = pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside 10-word windows of benchmark items."""
     done = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -41,7 +55,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_packing": op4_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
