@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_groups
 from .packing import pack
+from .quality_classifier import fold_zero, score_quality
 from .quality_rules import quality_rules
 from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
@@ -32,6 +33,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores, learnt from positives and unlabelled texts outside the held-out fold."""
+    done = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold_zero())
+    return done.select("doc_id", fold_zero().alias("held_out"), "score", "predicted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of at most 2048 tokens."""
     done = pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
@@ -64,6 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontaminate": op7_decontaminate,
