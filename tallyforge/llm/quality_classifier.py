@@ -99,7 +99,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def minimise(model: Model, x: np.ndarray, slope, steps: int = STEPS) -> None:
+def minimise(model: Model, x: np.ndarray, slope, decay: float, steps: int = STEPS) -> None:
     """Full-batch Adam; slope gives the risk's derivative by each row's margin."""
     x = np.clip((x - model.centre) / model.scale, -8, 8)
     names, m, v = ("w1", "b1", "w2", "b2"), {}, {}
@@ -107,7 +107,7 @@ def minimise(model: Model, x: np.ndarray, slope, steps: int = STEPS) -> None:
         h = np.tanh(x @ model.w1 + model.b1)
         g = slope(h @ model.w2 + model.b2)
         back = np.outer(g, model.w2) * (1 - h * h)
-        for k, d in zip(names, (x.T @ back + 1e-4 * model.w1, back.sum(0), h.T @ g + 1e-4 * model.w2, g.sum())):
+        for k, d in zip(names, (x.T @ back + decay * model.w1, back.sum(0), h.T @ g + decay * model.w2, g.sum())):
             m[k] = 0.9 * m.get(k, 0) + 0.1 * d
             v[k] = 0.999 * v.get(k, 0) + 0.001 * d * d
             setattr(model, k, getattr(model, k) - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8))
@@ -122,14 +122,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     fresh = lambda: Model(centre, scale, rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), 0.0)
-    rough = fresh()  # positives against the unlabelled, only to rank rows for the prior
-
-    def logistic(z):
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return np.concatenate([(p[:n] - 1) / n, p[n:] / (len(z) - n)])
-
-    minimise(rough, x, logistic, STEPS // 2)
-    z = rough.margin(x)
+    decay = 0.02 * np.sqrt(1000 / len(x))
+    z = np.empty(len(x))
+    for fold in (0, 1):  # rough models of positives against the unlabelled rank the rows they have not seen, for the prior
+        seen = np.arange(len(x)) % 2 == fold
+        if seen[:n].all() or seen[n:].all() or not seen[:n].any() or not seen[n:].any():
+            seen = np.ones(len(x), bool)
+        k = int(seen[:n].sum())
+
+        def logistic(m, k=k):
+            p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+            return np.concatenate([(p[:k] - 1) / k, p[k:] / (len(m) - k)])
+
+        rough = fresh()
+        minimise(rough, x[seen], logistic, decay, STEPS // 4)
+        rest = ~seen if not seen.all() else seen
+        z[rest] = rough.margin(x[rest])
     at = np.quantile(z[:n], np.linspace(0, 1 - LEAST_REGION, 50))
     prior = float(np.clip(min((z[n:] >= t).mean() / (z[:n] >= t).mean() for t in at), 0.05, 0.99))
     model = fresh()
@@ -142,7 +150,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
         good = -d[:n] * prior / n if gap >= 0 else np.zeros(n)
         return np.concatenate([good - turn * prior * d[:n] / n, turn * d[n:] / (len(z) - n)])
 
-    minimise(model, x, pu)
+    minimise(model, x, pu, decay)
     model.prior = prior
     return model
 
