@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_groups
 from .packing import pack
+from .pii import KINDS, pseudonymise
 from .quality_classifier import fold_zero, score_quality
 from .quality_rules import quality_rules
 from .sharding import byte_shards
@@ -17,6 +18,10 @@ from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
 
 
+#: The pseudonyms' key in the registered queries; a real run passes its own secret.
+PII_KEY = "registered-query-key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +56,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data, and how many of each kind were found."""
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    of_kind = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return done.select("doc_id", F.size("pii").cast("long").alias("n_found"), *counts, "text")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words inside 10-word windows of benchmark items."""
     done = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
