@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
 from .packing import pack
 from .pii import KINDS, pseudonymise
@@ -75,6 +76,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 50-word window of an earlier document covers."""
     done = dedup_substrings(table(spark, sf_dir, "documents"), window=50)
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_html_extract": op9_html_extract,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
