@@ -106,13 +106,15 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def folder(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; one of our own only where none is set (tests, a single machine)."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one of our own only where none is set (tests, a single machine)."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return context.getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
     """A copy of the rows in the shared folder, which later steps read and lost executors can't take along."""
-    folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()

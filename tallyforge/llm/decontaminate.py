@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import ALNUM, LOWER, buffers, runs, word_bounds, word_hashes
 
@@ -152,7 +153,7 @@ def hot_runs(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return symbol, list(zip(begin[ok].tolist(), end[ok].tolist()))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 1.0, carry: bool = False, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, kept_text and dropped.
 
     Words are lower-cased runs of ASCII digits, letters and all other characters
@@ -163,12 +164,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     the words are hit (the coverage limit).  A null or empty text has no words; items
     without words match nothing; rows that repeat an id stand for themselves; a null
     item id counts as no item in n_items, though its windows hit.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored, or with carry kept in a struct named row; an empty table gives no rows.
 
     The items are a stated set that is checked against all rows: their automaton goes to
     every task, so their size is checked first (MOST_ITEM_BYTES).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole)
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > MOST_ITEM_BYTES:
@@ -212,6 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
                         text = b"".join(whole[x:y] for x, y in zip(cuts[::2], cuts[1::2])).decode()
                     out["kept_text"].append(text)
             share = [h > most_share * n for h, n in zip(out["n_hit"], out["n_words"])]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_words": pa.array(out["n_words"], pa.int64()), "n_hit": pa.array(out["n_hit"], pa.int64()), "n_items": pa.array(out["n_items"], pa.int64()), "items_sha256": pa.array(out["items_sha256"], pa.string()), "contaminated": pa.array([h > 0 for h in out["n_hit"]], pa.bool_()), "kept_text": pa.array(out["kept_text"], pa.string()), "dropped": pa.array(share, pa.bool_())})
+            yield pa.record_batch(({"row": batch["row"]} if carry else {}) | {"doc_id": batch["doc_id"], "n_words": pa.array(out["n_words"], pa.int64()), "n_hit": pa.array(out["n_hit"], pa.int64()), "n_items": pa.array(out["n_items"], pa.int64()), "items_sha256": pa.array(out["items_sha256"], pa.string()), "contaminated": pa.array([h > 0 for h in out["n_hit"]], pa.bool_()), "kept_text": pa.array(out["kept_text"], pa.string()), "dropped": pa.array(share, pa.bool_())})
 
-    return rows.mapInArrow(screen, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, kept_text string, dropped boolean")
+    found = T.StructType.fromDDL("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, kept_text string, dropped boolean")
+    return rows.mapInArrow(screen, T.StructType([*([rows.schema["row"]] if carry else []), *found.fields]))

@@ -200,3 +200,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
 def fold_zero(id_col: str = "doc_id") -> Column:
     """Rows whose crc32(doc_id as text) mod 5 is 0; not those without an id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores threshold or more; otherwise as score_quality."""
+    model = train(settle(statistics(docs, id_col, text_col)), labels, ~held_out if held_out is not None else F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [model.score(features(data, offsets)) for _, _, data, offsets in runs(*buffers(batch[text_col]))]
+            yield batch.filter(pa.array(np.concatenate(rows) >= threshold if rows else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
