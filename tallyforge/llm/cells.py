@@ -67,15 +67,16 @@ COUNTED = "bucket int, cell int, keys binary, docs binary"
 SHARED = "cell int, keys binary, df binary"
 
 
-def shared(texts: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+def shared(texts: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, told: DataFrame | None = None) -> DataFrame:
     """For each cell, the short fingerprints of its documents that two documents or more have, and in how many they occur.
 
-    keys_of gives (documents' ids, fingerprints) of a cell.  A 32-bit clash within a
+    keys_of gives (documents' ids, fingerprints) of a cell, from its texts and, if given, from
+    what the cell is told.  A 32-bit clash within a
     bucket may add a fingerprint; it never loses one.
     """
 
-    def gather(table: pa.Table) -> pa.Table:
-        doc, key = keys_of(table)
+    def gather(table: pa.Table, *heard: pa.Table) -> pa.Table:
+        doc, key = keys_of(table, *heard)
         key, n = count_docs(doc, short(key, buckets))
         out = [(b, (key[s] & LOW).astype(np.uint32).tobytes(), n[s].astype(np.uint32).tobytes()) for b, s in by_bucket(key)]
         cell = table["cell"][0].as_py()
@@ -97,7 +98,9 @@ def shared(texts: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
                 out.append((cell, (part[ok] | high).tobytes(), np.minimum(f[ok], 2**32 - 1).astype(np.uint32).tobytes()))
         return pa.table({"cell": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "df": pa.array([x[2] for x in out], pa.binary())})
 
-    return texts.groupBy("cell").applyInArrow(gather, COUNTED).groupBy("bucket").applyInArrow(meet, SHARED)
+    by_cell = texts.groupBy("cell")
+    gathered = by_cell.applyInArrow(lambda table: gather(table), COUNTED) if told is None else by_cell.cogroup(told.groupBy("cell")).applyInArrow(lambda table, heard: gather(table, heard), COUNTED)
+    return gathered.groupBy("bucket").applyInArrow(meet, SHARED)
 
 
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:

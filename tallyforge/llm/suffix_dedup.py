@@ -29,14 +29,16 @@ HOT_DOCS = 2000
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED00))
 _PLACE = 24
+#: Stands for a piece's minimizer, which its key already tells; no UTF-8 text holds this byte.
+MARK = b"\xff"
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with one minimizer: first window, last window, minimizer's fingerprint."""
+def pieces(data: np.ndarray, offsets: np.ndarray, use: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of windows with one minimizer: first window, last window, minimizer's place, its fingerprint."""
     n = len(data) - window + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64)
     grams = window_hashes(_BYTE[data], gram)
     spread, begin, at = window - gram + 1, [], []
     block = (1 << _PLACE) - 4 * window
@@ -52,7 +54,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tup
     at = np.concatenate(at)[:n]
     change = np.zeros(len(data) + 1, np.int32)  # windows within one document
     length = np.diff(offsets)
-    some = length >= window
+    some = (length >= window) & use
     np.add.at(change, offsets[:-1][some], 1)
     np.add.at(change, offsets[1:][some] - window + 1, -1)
     whole = np.cumsum(change)[:n] > 0
@@ -60,7 +62,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tup
     new[1:] = (at[1:] != at[:-1]) | ~whole[:-1]
     begin = np.flatnonzero(new & whole)
     stop = np.flatnonzero(np.append(new[1:] | ~whole[1:], True) & whole)
-    return begin, stop, grams[at[begin]]
+    return begin, stop, at[begin], grams[at[begin]]
 
 
 def owners_of(strings: list[bytes], least: list[int], window: int) -> list[list[tuple[int, int, int]]]:
@@ -107,42 +109,43 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
     are ignored, an empty table gives no rows, and texts are treated whole.
     """
     texts, buckets = deal(docs, id_col, text_col)
+    marked = window - gram + 1  # a window's length with its minimizer as one symbol
 
-    def keys_of(table: pa.Table):
-        doc_id, out = ids(table["doc_id"]), []
-        for i, _, data, offsets in runs(*buffers(table["text"])):
-            begin, _, key = pieces(data, offsets, window, gram)
+    def keys_of(table: pa.Table, told: pa.Table):
+        doc_id, copies, out = ids(table["doc_id"]), joined(told["copies"], np.int64), []
+        for i, j, data, offsets in runs(*buffers(table["text"])):
+            begin, _, _, key = pieces(*without(data, offsets, np.flatnonzero(np.isin(doc_id[i:j], copies))), window, gram)
             out.append((doc_id[i + np.searchsorted(offsets, begin, "right") - 1], key))
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
-    def found(table: pa.Table, known: np.ndarray, df: np.ndarray):
-        """Pieces with a shared minimizer: run, its bytes, document index, first and last window, key, piece's fingerprint."""
+    def found(table: pa.Table, known: np.ndarray, df: np.ndarray, copies: np.ndarray):
+        """Pieces with a shared minimizer: run, its bytes, document index, first and last window, minimizer's place, key, piece's fingerprint."""
         known, at = np.unique(known, return_index=True)
-        df = df[at]
+        df, doc_id = df[at], ids(table["doc_id"])
         for i, j, data, offsets in runs(*buffers(table["text"])):
-            begin, stop, key = pieces(data, offsets, window, gram)
+            begin, stop, place, key = pieces(*without(data, offsets, np.flatnonzero(np.isin(doc_id[i:j], copies))), window, gram)
             tag = short(key, buckets)
             ok = isin_sorted(tag, known)
-            begin, stop, key, tag = begin[ok], stop[ok], key[ok], tag[ok]
+            begin, stop, place, key, tag = begin[ok], stop[ok], place[ok], key[ok], tag[ok]
             if len(begin):
                 hot = df[np.searchsorted(known, tag)] >= hot_docs
                 n = (stop - begin + 1)[hot]
                 alone = np.repeat(begin[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 own_key = word_hashes(data, alone, alone + window, 5) if len(alone) else np.empty(0, np.uint64)
-                begin, stop, key = np.concatenate([begin[~hot], alone]), np.concatenate([stop[~hot], alone]), np.concatenate([key[~hot], own_key])
+                begin, stop, place, key = np.concatenate([begin[~hot], alone]), np.concatenate([stop[~hot], alone]), np.concatenate([place[~hot], alone]), np.concatenate([key[~hot], own_key])
             sid = word_hashes(data, begin, stop + window, 3) if len(begin) else np.empty(0, np.uint64)
-            yield i, j, data, offsets, np.searchsorted(offsets, begin, "right") - 1, begin, stop, key, sid
+            yield i, j, data, offsets, np.searchsorted(offsets, begin, "right") - 1, begin, stop, place, key, sid
 
     def claim(table: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        if table.num_rows and told.num_rows:
+        if table.num_rows and len(heard(told)[0]):
             doc_id, parts = ids(table["doc_id"]), []
-            for i, _, data, _, doc, begin, stop, key, sid in found(table, joined(told["keys"], np.uint64), joined(told["df"], np.uint32)):
+            for i, _, data, _, doc, begin, stop, place, key, sid in found(table, *heard(told)):
                 order = np.lexsort((sid, key))
                 at = order[group_edges_of(key[order], sid[order])]
                 first = np.sort(at)
                 raw = data.tobytes()
-                text = [raw[a:b] for a, b in zip(begin[first].tolist(), (stop[first] + window).tolist())]
+                text = [raw[a:m] + MARK + raw[m + gram : b] for a, m, b in zip(begin[first].tolist(), place[first].tolist(), (stop[first] + window).tolist())]
                 parts.append((key, sid, doc_id[i + doc], first, text))
             key, sid, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
             text: dict[int, bytes] = {}
@@ -181,10 +184,10 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
         alone = (ends - groups == 1) & (high > low)
         one = groups[alone]
         # told: distinct piece, from, to, owner
-        told = [np.column_stack((one, np.zeros(len(one), np.int64), size[pick[one]] - window + 1, owner[one]))]
+        told = [np.column_stack((one, np.zeros(len(one), np.int64), size[pick[one]] - marked + 1, owner[one]))]
         for g, e in zip(groups[(ends - groups > 1) & (high > low)].tolist(), ends[(ends - groups > 1) & (high > low)].tolist()):
             strings = [blob[at_byte[x] : at_byte[x] + size[x]] for x in pick[g:e].tolist()]
-            rows = [(g + k, a, b, d) for k, r in enumerate(owners_of(strings, owner[g:e].tolist(), window)) for a, b, d in r if d < top[g + k]]
+            rows = [(g + k, a, b, d) for k, r in enumerate(owners_of(strings, owner[g:e].tolist(), marked)) for a, b, d in r if d < top[g + k]]
             if rows:
                 told.append(np.array(rows, np.int64))
         told = np.concatenate(told)
@@ -202,13 +205,15 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
 
     def settle(table: pa.Table, told: pa.Table) -> pa.Table:
         doc_id, n_removed, n_spans, kept = ids(table["doc_id"]), [], [], []
-        keys, df, sids, a, b, owner = (joined(told[c].drop_null(), t) for c, t in (("keys", np.uint64), ("df", np.uint32), ("sids", np.uint64), ("a", np.uint32), ("b", np.uint32), ("owner", np.int64)))
+        keys, df, copies = heard(told)
+        copied = np.isin(doc_id, copies)
+        sids, a, b, owner = (joined(told[c].drop_null(), t) for c, t in (("sids", np.uint64), ("a", np.uint32), ("b", np.uint32), ("owner", np.int64)))
         order = np.argsort(sids, kind="stable")
         sids, a, b, owner = sids[order], a[order].astype(np.int64), b[order].astype(np.int64), owner[order]
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.binary())})
         n_bytes = []
-        for i, j, data, offsets, doc, begin, _, _, sid in found(table, keys, df):
+        for i, j, data, offsets, doc, begin, _, _, _, sid in found(table, keys, df, copies):
             low, high = np.searchsorted(sids, sid, "left"), np.searchsorted(sids, sid, "right")
             n = high - low
             which = np.repeat(np.arange(len(sid)), n)
@@ -219,6 +224,8 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
             np.add.at(change, begin[which] + a[r], 1)
             np.add.at(change, begin[which] + b[r] - 1 + window, -1)
             gone = np.cumsum(change)[:-1] > 0
+            size = np.diff(offsets)
+            gone |= np.repeat(copied[i:j] & (size >= window), size)
             first = gone.copy()
             first[1:] &= ~gone[:-1]
             first[offsets[:-1][offsets[:-1] < len(data)]] = gone[offsets[:-1][offsets[:-1] < len(data)]]
@@ -230,13 +237,36 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
             kept += [left[x:y] for x, y in zip(at, at[1:])]
         return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    known = shared(texts, keys_of, buckets)
+    # of equal texts only the one with the smallest id need be looked into
+    digest = texts.select("cell", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
+    later = digest.join(first, "digest").where("doc_id != first").groupBy("cell").agg(F.collect_set("doc_id").alias("copies"))
+    copies = later.groupBy("cell").applyInArrow(as_binary, "cell int, copies binary")
     by_cell = texts.groupBy("cell")
+    known = shared(texts, keys_of, buckets, copies).unionByName(copies, allowMissingColumns=True)
     owned = by_cell.cogroup(known.groupBy("cell")).applyInArrow(claim, PIECES)
     replies = known.unionByName(owned.groupBy("bucket").applyInArrow(meet, OWNERS), allowMissingColumns=True)
     return by_cell.cogroup(replies.groupBy("cell")).applyInArrow(settle, RESULT)
 
 
+def as_binary(table: pa.Table) -> pa.Table:
+    return pa.table({"cell": table["cell"], "copies": pa.array([np.array(x, np.int64).tobytes() for x in table["copies"].to_pylist()], pa.binary())})
+
+
+def heard(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shared minimizers, their document frequencies, and the documents that are later copies."""
+    if not told.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
+    return joined(told["keys"].drop_null(), np.uint64), joined(told["df"].drop_null(), np.uint32), joined(told["copies"].drop_null(), np.int64)
+
+
+def without(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """data, offsets and, for each document, whether it is to be looked into."""
+    use = np.ones(len(offsets) - 1, bool)
+    use[docs] = False
+    return data, offsets, use
+
+
 def group_edges_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Where runs of equal pairs begin."""
     if not len(x):
