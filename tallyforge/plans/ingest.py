@@ -1 +1,71 @@
-"""Queries to come."""
+"""Queries of ingest operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as ex
+from ..sources import readers as rd
+from ..sources import roles as r
+from .registry import query
+
+DAYS = ["1998-03-02", "1998-03-03", "1998-03-04"]
+
+
+@query("select l_partkey as work_id, cast(l_shipdate as date) as date, 'plan' as kind, cast(max(l_quantity) as int) as value from lineitem where cast(l_shipdate as date) between date '1998-03-02' and date '1998-03-04' group by 1, 2 union all select l_partkey, cast(l_shipdate as date), 'fact', cast(min(l_quantity) as int) from lineitem where cast(l_shipdate as date) between date '1998-03-02' and date '1998-03-04' and l_linenumber < 4 group by 1, 2")
+def unpivot_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_id"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber")
+    on = lambda d: F.col("d") == F.lit(d).cast("date")
+    cells = [x for d in DAYS for x in (F.max(F.when(on(d), F.col("q"))).alias(f"plan_{d}"), F.min(F.when(on(d) & (F.col("l_linenumber") < 4), F.col("q"))).alias(f"fact_{d}"))]
+    wide = rows.where(F.col("d").isin([F.lit(d).cast("date") for d in DAYS])).groupBy("work_id").agg(*cells)
+    return rd.unpivot_calendar(wide, ["work_id"], DAYS, ("plan", "fact"))
+
+
+@query("""with l as (select l_partkey as work_id, cast(l_shipdate as date) as date, case when l_returnflag = 'N' then 'plan' else 'fact' end as kind, cast(l_quantity as int) as value, l_orderkey * 10 + l_linenumber as seq, case when l_linenumber = 1 then l_linestatus end as comment from lineitem)
+ select work_id, date, max_by(value, (seq, value)) filter (where kind = 'plan') as planned, max_by(value, (seq, value)) filter (where kind = 'fact') as actual, coalesce(string_agg(comment, '; ' order by seq, comment), '') as comment from l group by 1, 2""")
+def fold_plan_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "N", "plan").otherwise("fact")
+    q = F.col("l_quantity").cast("int")
+    long = rows.select(F.col("l_partkey").alias("work_id"), F.to_date("l_shipdate").alias("date"), kind.alias("kind"), q.alias("value"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), q.alias("v")).alias("seq"), F.when(F.col("l_linenumber") == 1, F.col("l_linestatus")).alias("comment"))
+    return rd.fold_plan_fact(long, ["work_id"], "seq")
+
+
+@query("""with t as (select conv_id, turn, case when role = 'user' then turn end as key, text, cast(sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as int) as record from conversations)
+ select conv_id, record, min(key) as key, string_agg(text, ' ' order by turn, text) as text from t group by 1, 2""")
+def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "conversations").withColumn("key", F.when(F.col("role") == "user", F.col("turn")))
+    return rd.continuation_merge(rows, "key", "turn", "text", ["conv_id"])
+
+
+@query("select l_orderkey, l_linenumber, l_shipdate, last_value(case when l_linenumber % 3 = 1 then l_returnflag end ignore nulls) over (partition by l_orderkey order by (l_linenumber, l_shipdate, l_partkey, l_suppkey) rows between unbounded preceding and current row) as section from lineitem")
+def section_fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "lineitem").withColumn("section", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag"))).withColumn("o", F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"))
+    return rd.fill_down(rows, ["l_orderkey"], "o", "section").select("l_orderkey", "l_linenumber", "l_shipdate", "section")
+
+
+@query("""with b as (select conv_id, turn, case when turn % 4 in (1, 2) then '' else role end as role from conversations), c as (select *, sum(case when role = '' then 1 else 0 end) over (partition by conv_id order by turn rows between 1 preceding and current row) as run from b),
+ d as (select *, max(case when run = 2 then 1 else 0 end) over (partition by conv_id order by turn rows between unbounded preceding and current row) as over from c) select conv_id, turn, role from d where role <> '' and over = 0""")
+def rows_until_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 < 1, F.col("role")).when(F.col("turn") % 4 > 2, F.col("role")).otherwise("").alias("role"))
+    return rd.stop_after_blanks(rows, ["conv_id"], "turn", "role", 2)
+
+
+@query()
+def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.html_rows(r.read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""select p_partkey, case when p_size % 4 = 0 then p_size when p_size % 4 = 1 then p_size + 5 when p_size % 4 = 2 then p_size end as crew, p_size % 4 = 3 as needs_review from part""")
+def crew_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    cell = F.when(F.col("p_size") % 4 == 0, n).when(F.col("p_size") % 4 == 1, F.concat(n, F.lit(" - "), (F.col("p_size") + 5).cast("string"))).when(F.col("p_size") % 4 == 2, F.concat(n, F.lit(" people"))).otherwise("contractor")
+    c = ex.crew(cell)
+    return r.read(spark, sf_dir, "part").select("p_partkey", c["value"].alias("crew"), c["needs_review"].alias("needs_review"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as int) as k, case when cast(json_extract_string(props, '$.k') as int) <= 0 then 'ok' when cast(json_extract_string(props, '$.k') as int) <= 7 then 'risk' else 'danger' end as class from events")
+def deviation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return r.read(spark, sf_dir, "events").select("event_id", k.alias("k"), ex.deviation_class(k).alias("class"))

@@ -1 +1,164 @@
-"""Queries to come."""
+"""Queries of matching and of writes as merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import matching as m
+from ..operators import merge as mg
+from ..sources import roles as r
+from .registry import query
+
+CODES = "select p_partkey, concat('K', p_size % 3, '-', p_size, case when p_size % 2 = 0 then concat('..', p_size + 4) else '' end, '; ', p_size + 7, case when p_size % 5 = 0 then ', see note' else '' end) as codes from part"
+TOKENS = f"""codes as ({CODES}), t as (select p_partkey, unnest(list_filter(list_transform(regexp_split_to_array(codes, '[;,+]'), lambda x: trim(x)), lambda x: x <> '')) as token, generate_subscripts(list_filter(list_transform(regexp_split_to_array(codes, '[;,+]'), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 as place from codes),
+ f as (select *, nullif(regexp_extract(token, '^(?:(K[0-9]*)-)?([0-9]+)(?:\\s*(?:\\.\\.|-)\\s*([0-9]+))?$', 1), '') as own, try_cast(regexp_extract(token, '^(?:(K[0-9]*)-)?([0-9]+)(?:\\s*(?:\\.\\.|-)\\s*([0-9]+))?$', 2) as int) as low,
+ try_cast(regexp_extract(token, '^(?:(K[0-9]*)-)?([0-9]+)(?:\\s*(?:\\.\\.|-)\\s*([0-9]+))?$', 3) as int) as up from t),
+ tokens as (select p_partkey, cast(place as int) as place, token, case when low is null then 'literal' when coalesce(up, low) > low then 'range' else 'single' end as kind,
+ case when low is not null then last_value(own ignore nulls) over (partition by p_partkey order by place rows between unbounded preceding and current row) end as prefix, low, coalesce(up, low) as high from f)"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    text = F.concat(F.lit("K"), (n % 3).cast("string"), F.lit("-"), n.cast("string"), F.when(n % 2 == 0, F.concat(F.lit(".."), (n + 4).cast("string"))).otherwise(""), F.lit("; "), (n + 7).cast("string"), F.when(n % 5 == 0, ", see note").otherwise(""))
+    return m.code_tokens(r.read(spark, sf_dir, "part").select("p_partkey", text.alias("codes")), "p_partkey", "codes")
+
+
+@query(f"with {TOKENS} select * from tokens")
+def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir)
+
+
+@query(f"with {TOKENS} select p_partkey, place, l_orderkey, l_linenumber from tokens join lineitem on l_partkey = p_partkey and cast(l_quantity as int) between low and high where kind <> 'literal'")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = r.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("n"))
+    return m.range_join(points, tokens(spark, sf_dir).where("kind != 'literal'"), "p_partkey", "n", "low", "high").select("p_partkey", "place", "l_orderkey", "l_linenumber")
+
+
+@query("""select s_suppkey, (select c_acctbal from customer where c_nationkey = s_nationkey and abs(c_acctbal - s_acctbal) <= 8 order by abs(c_acctbal - s_acctbal), c_acctbal limit 1) as c_acctbal from supplier
+ where exists (select 1 from customer where c_nationkey = s_nationkey and abs(c_acctbal - s_acctbal) <= 8)""")
+def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = r.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    right = r.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return m.nearest(left, right, "nation", "s_acctbal", "c_acctbal", "s_suppkey", 8.0)
+
+
+@query("with o as (select lower(trim(p_name)) as n, min_by(p_partkey, (p_size, p_partkey)) as code from part where p_size > 10 group by 1) select p_partkey, code from part left join o on o.n = lower(trim(p_name)) where p_size <= 10")
+def name_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = r.read(spark, sf_dir, "part").withColumn("code", F.col("p_partkey"))
+    out = m.reconcile(part.where("p_size <= 10").select("p_partkey", "p_name"), part.where("p_size > 10").select("p_name", "code", "p_size"), "p_name", "code", "p_size")
+    return out.select("p_partkey", "code")
+
+
+@query("with c as (select p_type, p_size, min(p_partkey) as target, count(*) as candidates from part where p_partkey % 3 = 0 group by 1, 2) select a.p_partkey, candidates, case when candidates = 1 then target end as target from part a join c using (p_type, p_size) where a.p_partkey % 3 = 1")
+def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = r.read(spark, sf_dir, "part").withColumn("k", F.concat_ws("|", "p_type", F.col("p_size").cast("string")))
+    return m.unique_match(part.where("p_partkey % 3 = 1").select("p_partkey", "k"), part.where("p_partkey % 3 = 0").select("k", F.col("p_partkey").alias("target")), "k", "p_partkey", "target")
+
+
+ITEMS = """items as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) as words from benchmark),
+ norms as (select doc_id as norm_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) as words, list_distinct(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?')) as nums from documents),
+ hits as (select item_id, norm_id, count(*) as shared from (select item_id, unnest(words) as w from items) join (select norm_id, unnest(words) as w from norms) using (w) group by 1, 2)"""
+
+
+def items_and_norms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    columns = lambda key, name: [F.col(key).alias(name), m.words(F.col("text")).alias("words"), m.numbers(F.col("text")).alias("numbers")]
+    return r.read(spark, sf_dir, "benchmark").select(*columns("item_id", "item_id")), r.read(spark, sf_dir, "documents").select(*columns("doc_id", "norm_id"))
+
+
+@query(f"""with {ITEMS}, s as (select h.item_id, h.norm_id, round(cast(shared as double) / len(i.words) + case when list_has_any(list_distinct(regexp_extract_all(b.text, '\\d+(?:[.,]\\d+)?')), n.nums) then 0.5 else 0 end, 6) as score
+ from hits h join items i using (item_id) join norms n using (norm_id) join benchmark b using (item_id)) select item_id, norm_id, score from s where score >= 0.5 qualify row_number() over (partition by item_id order by score desc, norm_id) = 1""")
+def norm_match_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.overlap_match(*items_and_norms(spark, sf_dir), 0.5)
+
+
+@query(f"""with {ITEMS}, s as (select h.item_id, h.norm_id, round(cast(shared as double) / (len(i.words) + len(n.words) - shared), 6) as score from hits h join items i using (item_id) join norms n using (norm_id)),
+ b as (select * from s qualify row_number() over (partition by item_id order by score desc, norm_id) = 1) select item_id, norm_id, score, case when score >= 0.55 then 'exact' when score >= 0.35 then 'heuristic' else 'none' end as verdict from b""")
+def norm_match_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.jaccard_match(*items_and_norms(spark, sf_dir), 0.55, 0.35)
+
+
+@query("with a as (select p_partkey, p_name from part where p_type = 'ECONOMY' and p_name ilike '%ring%'), b as (select p_partkey, p_name from part where p_type <> 'ECONOMY' and p_name ilike '%ring%') select * from a union all select * from b where not exists (select 1 from a)")
+def norm_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = r.read(spark, sf_dir, "part")
+    names = lambda c: part.where(c).select("p_partkey", "p_name")
+    return m.norm_search(names("p_type = 'ECONOMY'"), names("p_type != 'ECONOMY'"), "p_name", "ring")
+
+
+@query("select p_partkey, case when p_size = 0 then 'unknown' when p_retailprice / (p_size * 100) between 0.7 and 1.4 then 'close' when p_retailprice / (p_size * 100) between 0.5 and 2.0 then 'differs' else 'far' end as ratio from part")
+def catalogue_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.read(spark, sf_dir, "part").select("p_partkey", m.close_ratio(F.col("p_retailprice"), F.col("p_size") * 100).alias("ratio"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of documents against benchmark items that begin with the same word."""
+    docs = r.read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("a"), "lang")
+    items = r.read(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("b"))
+    first = lambda c: F.lower(F.substring_index(c, " ", 1))
+    return docs.withColumn("w", first("a")).join(items.withColumn("w", first("b")), "w")
+
+
+@query()
+def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("doc_id", "item_id", m.sequence_similarity("a", "b").alias("score"))
+
+
+@query()
+def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("doc_id", "item_id", m.token_set_ratio("a", "b").alias("score"))
+
+
+@query()
+def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pairs(spark, sf_dir).select("w", F.col("doc_id").alias("record"), F.col("item_id").alias("candidate"), m.sequence_similarity("a", "b").alias("score")).where("score >= 0.2")
+    return m.greedy_assignment(scored, "w", accept=0.3, margin=0.02)
+
+
+ORD = "select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as amount from orders"
+OLD, NEW = f"old as ({ORD} where o_orderkey % 3 <> 0)", f"new as (select o_orderkey, 'X' as o_orderstatus, amount from ({ORD}) where o_orderkey % 5 = 0)"
+
+
+def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = r.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    return rows.where("o_orderkey % 3 != 0"), rows.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
+
+
+@query(f"with {OLD}, {NEW} select * from old where o_orderkey not in (select o_orderkey from new) union all select * from new")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.upsert(*old_and_new(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"with {OLD}, {NEW} select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) as o_orderstatus, o.amount from old o full join new n using (o_orderkey)")
+def upsert_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.upsert_columns(*old_and_new(spark, sf_dir), ["o_orderkey"], ["o_orderstatus"])
+
+
+@query(f"with {OLD}, {NEW} select * from old union all select * from new where o_orderkey not in (select o_orderkey from old)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.insert_if_absent(*old_and_new(spark, sf_dir), ["o_orderkey"])
+
+
+@query("select l_partkey, min(l_shipdate) as l_shipdate, min_by(l_orderkey, (l_shipdate, l_orderkey)) as l_orderkey from lineitem group by 1")
+def least_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.least_merge(r.read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_shipdate", "l_orderkey")
+
+
+@query("select o_orderkey, concat('F-', lpad(cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as varchar), 5, '0')) as code from orders")
+def renumber_gapless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.renumber(r.read(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], "F-", ["o_custkey"]).select("o_orderkey", "code")
+
+
+@query("with p as (select distinct l_suppkey as grp, l_partkey as member from lineitem), f as (select member, min(grp) as owner from p group by 1) select member, grp, case when grp = owner then 'claimed' else 'conflict' end as claim from p join f using (member)")
+def claim_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.claim_once(r.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("member")).distinct(), "grp", "member")
+
+
+@query("select l_partkey, min(l_suppkey) as l_suppkey from lineitem group by 1 having count(distinct l_suppkey) = 1")
+def only_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mg.only_candidate(r.read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("with r as (select distinct l_suppkey as s, l_partkey as k from lineitem), t as (select case s when 1 then 0 when 2 then 0 else s end as to_s, s, k from r) select to_s as s, k from t qualify row_number() over (partition by to_s, k order by case when to_s = s then 1 else 0 end desc, s) = 1")
+def merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k")).distinct()
+    return mg.merge_entities(rows, "s", "k", {1: 0, 2: 0})
