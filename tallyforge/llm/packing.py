@@ -9,24 +9,44 @@ a task leaves one partly filled window at most.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ids
 
-#: The word cache of a task starts anew beyond this many words.
-CACHE_WORDS = 1 << 20
+#: A worker's word cache starts anew beyond this many words.
+CACHE_WORDS = 600_000
 #: Rows of pieces are sent on in batches of about this many ids.
 BATCH_IDS = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+#: Words of printable ASCII, which byte-level tokenizers take as they are.
+PLAIN = re.compile(rb"[!-~]+").fullmatch
+
+
+def own_pattern(tokenizer):
+    """The pattern by which a tokenizer finds its tokens' words, if it lowers case, finds them by one pattern and maps bytes one to one; else None."""
+    steps = json.loads(tokenizer.to_str())
+    normal, cut = steps.get("normalizer") or {}, steps.get("pre_tokenizer") or {}
+    lower = any(x.get("type") == "Lowercase" for x in normal.get("normalizers", ()))
+    parts = cut.get("pretokenizers", ())
+    if not lower or [x.get("type") for x in parts] != ["Split", "ByteLevel"] or not parts[0].get("invert") or parts[1].get("add_prefix_space") or parts[1].get("use_regex"):
+        return None
+    return regex.compile(parts[0]["pattern"]["Regex"]).findall
+
+
 class WordTokens:
     """Ids of words, each distinct word being tokenized once.
 
@@ -41,28 +61,66 @@ class WordTokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = own_pattern(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.size, self.used = np.empty(1 << 16, np.uint32), 0, 0
-        self.start, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.known: dict[str, list[int]] = {}
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def parts(self, texts: list[str]) -> list[list[int]] | None:
+        """Ids of words by the tokenizer's own steps, over all of them at once; None if a step does not keep them apart."""
+        normal, cut, model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if normal is None or cut is None:
+            return None
+        joined = normal.normalize_str(" ".join(texts))
+        lengths = [len(w) for w in joined.split(" ")]
+        if len(lengths) != len(texts):
+            return None
+        begins = np.cumsum(lengths) + np.arange(len(lengths)) - lengths
+        tokens = cut.pre_tokenize_str(joined)
+        word = np.searchsorted(begins, np.fromiter((t[1][0] for t in tokens), np.int64, len(tokens)), "right") - 1
+        known, out = self.known, [[] for _ in texts]
+        for k, (t, _) in zip(word.tolist(), tokens):
+            got = known.get(t)
+            if got is None:
+                got = known[t] = [x.id for x in model.tokenize(t)]
+            out[k] += got
+        return out
+
+    def plain_ids(self, word: str) -> list[int]:
+        """Ids of a word of printable ASCII in lower case, cut by the tokenizer's own pattern."""
+        known, out = self.known, []
+        for t in self.cut(word):
+            got = known.get(t)
+            if got is None:
+                got = known[t] = [x.id for x in self.tokenizer.model.tokenize(t)]
+            out += got
+        return out
 
     def learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            got = e.ids
-            while self.size + len(got) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if self.used == len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-            self.flat[self.size : self.size + len(got)] = got
-            self.start[self.used], self.length[self.used] = self.size, len(got)
-            self.index[w] = self.used
-            self.size += len(got)
-            self.used += 1
+        plain = [w for w in words if self.cut and PLAIN(w) and b"<|" not in w]
+        found = [self.plain_ids(w.decode().lower()) for w in plain]
+        rest = [w for w in words if not (self.cut and PLAIN(w) and b"<|" not in w)]
+        texts = [w.decode() for w in rest]
+        odd = [len(t.split()) != 1 or any(s in t for s in self.special) for t in texts]
+        other = self.parts([t for t, o in zip(texts, odd) if not o]) if rest else []
+        if other is None:
+            odd, other = [True] * len(texts), []
+        whole = (e.ids for e in self.tokenizer.encode_batch_fast([t for t, o in zip(texts, odd) if o], add_special_tokens=False))
+        others = iter(other)
+        found += [next(whole) if o else next(others) for o in odd]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((x for f in found for x in f), np.uint32, int(n.sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length, self.flat = np.concatenate([self.length, n]), np.concatenate([self.flat, flat])
+        self.index.update(zip(plain + rest, range(len(self.index), len(self.index) + len(words))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
+        lower = self.cut is not None  # then case does not matter, but in special tokens
+        split = [(raw.lower() if lower and b"<|" not in raw else raw).split() for raw in ((t or "").encode() for t in texts)]
         if len(self.index) > CACHE_WORDS:
             self.clear()
         new = set().union(*split).difference(self.index)
@@ -78,6 +136,14 @@ class WordTokens:
         return [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
 
+def words_of_worker(path: str | None) -> WordTokens:
+    """One tokenizer and word cache for all tasks of a Python worker; what they hold never changes a result."""
+    held = sys.modules.setdefault("tallyforge_worker", types.ModuleType("tallyforge_worker")).__dict__.setdefault("words", {})
+    if path not in held:
+        held[path] = WordTokens(path)
+    return held[path]
+
+
 class Packer:
     """Open windows by fill level.  A piece is (doc_id, start, ids, doc_tokens); closed windows are lists of pieces."""
 
@@ -168,7 +234,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
             return made
 
         for batch in batches:
-            words = words or WordTokens(tokenizer_path)
+            words = words or words_of_worker(tokenizer_path)
             doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"]
             at = 0
             while at < len(texts):
