@@ -104,6 +104,6 @@ WEATHER = {0: "clear", 1: "mostly clear", 2: "partly cloudy", 3: "overcast", 45:
 
 def weather_text(code: Column, temperature: Column, precipitation: Column) -> Column:
     """'rain, +4°, 2.0 mm'; null without a reading."""
-    name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in WEATHER.items() for x in kv)), code.cast("int")), F.lit("code ") + code.cast("string"))
+    name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in WEATHER.items() for x in kv)), code.cast("int")), F.concat(F.lit("code "), code.cast("string")))
     wet = F.when(precipitation > 0, F.format_string(", %.1f mm", precipitation.cast("double"))).otherwise("")
     return F.concat(name, F.format_string(", %+d°", F.round(temperature).cast("int")), wet)

@@ -26,7 +26,7 @@ def read_pipe(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def read_copy(spark: SparkSession, path: str, table: str, names: list[str]) -> DataFrame:
     """The rows of one table's COPY block in a database dump (\\N is null).  Lines are numbered by the file's order, so the dump is one file."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", rf"(?s)COPY (?:\w+\.)?{re.escape(table)} [^\n]*FROM stdin;\n(.*?)\n?\\\.", 1)
     rows = lines.select(F.explode(F.split(block, "\n")).alias("row")).where("row != ''")
     part = F.split("row", "\t")
