@@ -69,7 +69,7 @@ def decode(code: Column, labels: Mapping[str, str], default: str | None = None)
 
 def tidy(text: Column) -> Column:
     """Lower case, no-break spaces and runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, "  ", "  ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "\u00a0\u202f", "  ")), r"\s+", " "))
 
 
 def crew(text: Column) -> Column:
@@ -81,13 +81,13 @@ def crew(text: Column) -> Column:
 
 def number_or_raw(text: Column) -> Column:
     """A struct of value and raw; a decimal comma is read."""
-    value = F.replace(F.translate(text, "  ", ""), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
+    value = F.replace(F.translate(text, " \u00a0\u202f", ""), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
     return F.struct(value.alias("value"), F.when(value.isNull(), text).alias("raw"))
 
 
 def money(amount: Column) -> Column:
     """Thousands by no-break spaces, decimals after a comma."""
-    return F.translate(F.format_number(amount, 2), ",.", " ,")
+    return F.translate(F.format_number(amount, 2), ",.", "\u00a0,")
 
 
 def first_match(text: Column, rules: Mapping[str, str], default: str) -> Column:

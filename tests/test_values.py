@@ -64,8 +64,8 @@ def test_crew(spark, text, value, review):
 
 
 def test_more_expressions(spark):
-    got = one(spark, a=ex.money(F.lit(1234567.5)), b=ex.number_or_raw(F.lit("1 234,5"))["value"].cast("double"), c=ex.number_or_raw(F.lit("16 sht"))["raw"], e=ex.group_status(F.lit(4), F.lit(2), F.lit("x")), f=ex.deviation_class(F.lit(8)), g=ex.first_match(F.lit("no crane today"), {"equipment": "crane", "people": "crew"}, "material"), h=ex.weather_text(F.lit(61), F.lit(4.4), F.lit(2.0)), i=ex.violation_status(F.lit(False), F.lit(True), F.lit(True), F.lit(False)))
-    assert tuple(got) == ("1 234 567,50", 1234.5, "16 sht", "signed 50%", "danger", "equipment", "light rain, +4°, 2.0 mm", "rejected")
+    got = one(spark, a=ex.money(F.lit(1234567.5)), b=ex.number_or_raw(F.lit("1\u00a0234,5"))["value"].cast("double"), c=ex.number_or_raw(F.lit("16 sht"))["raw"], e=ex.group_status(F.lit(4), F.lit(2), F.lit("x")), f=ex.deviation_class(F.lit(8)), g=ex.first_match(F.lit("no crane today"), {"equipment": "crane", "people": "crew"}, "material"), h=ex.weather_text(F.lit(61), F.lit(4.4), F.lit(2.0)), i=ex.violation_status(F.lit(False), F.lit(True), F.lit(True), F.lit(False)))
+    assert tuple(got) == ("1\u00a0234\u00a0567,50", 1234.5, "16 sht", "signed 50%", "danger", "equipment", "light rain, +4°, 2.0 mm", "rejected")
 
 
 def test_forecasts(spark):
