@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .pii import KINDS, pseudonymise
 from .quality_classifier import fold_zero, score_quality
@@ -100,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
