@@ -50,10 +50,10 @@ def name_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "code")
 
 
-@query("with c as (select p_type, p_size, min(p_partkey) as target, count(*) as candidates from part where p_partkey % 3 = 0 group by 1, 2) select a.p_partkey, candidates, case when candidates = 1 then target end as target from part a join c using (p_type, p_size) where a.p_partkey % 3 = 1")
+@query("with c as (select p_brand, p_size, min(p_partkey) as target, count(*) as candidates from part where p_type <> 'ECONOMY' group by 1, 2) select a.p_partkey, candidates, case when candidates = 1 then target end as target from part a join c using (p_brand, p_size) where a.p_type = 'ECONOMY'")
 def unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = r.read(spark, sf_dir, "part").withColumn("k", F.concat_ws("|", "p_type", F.col("p_size").cast("string")))
-    return m.unique_match(part.where("p_partkey % 3 = 1").select("p_partkey", "k"), part.where("p_partkey % 3 = 0").select("k", F.col("p_partkey").alias("target")), "k", "p_partkey", "target")
+    part = r.read(spark, sf_dir, "part").withColumn("k", F.concat_ws("|", "p_brand", F.col("p_size").cast("string")))
+    return m.unique_match(part.where("p_type = 'ECONOMY'").select("p_partkey", "k"), part.where("p_type != 'ECONOMY'").select("k", F.col("p_partkey").alias("target")), "k", "p_partkey", "target")
 
 
 ITEMS = """items as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)) as words from benchmark),
@@ -91,36 +91,36 @@ def catalogue_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents against benchmark items that begin with the same word."""
-    docs = r.read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("a"), "lang")
-    items = r.read(spark, sf_dir, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("b"))
-    first = lambda c: F.lower(F.substring_index(c, " ", 1))
-    return docs.withColumn("w", first("a")).join(items.withColumn("w", first("b")), "w")
+    """Distinct names of parts of one type against those of the others that end in the same word."""
+    names = r.read(spark, sf_dir, "part").groupBy("p_name", (F.col("p_type") == "ECONOMY").alias("left")).agg(F.min("p_partkey").alias("id")).withColumn("w", F.substring_index("p_name", " ", -1))
+    side = lambda left, key, name: names.where(F.col("left") == left).select("w", F.col("id").alias(key), F.col("p_name").alias(name))
+    return side(True, "record", "a").join(side(False, "candidate", "b"), "w")
 
 
 @query()
 def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("doc_id", "item_id", m.sequence_similarity("a", "b").alias("score"))
+    return pairs(spark, sf_dir).select("record", "candidate", m.sequence_similarity("a", "b").alias("score"))
 
 
 @query()
 def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("doc_id", "item_id", m.token_set_ratio("a", "b").alias("score"))
+    return pairs(spark, sf_dir).select("record", "candidate", m.token_set_ratio("a", "b").alias("score"))
 
 
 @query()
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = pairs(spark, sf_dir).select("w", F.col("doc_id").alias("record"), F.col("item_id").alias("candidate"), m.sequence_similarity("a", "b").alias("score")).where("score >= 0.2")
-    return m.greedy_assignment(scored, "w", accept=0.3, margin=0.02)
+    scored = pairs(spark, sf_dir).select("w", "record", "candidate", m.sequence_similarity("a", "b").alias("score")).where("score >= 0.55")
+    return m.greedy_assignment(scored, "w")
 
 
 ORD = "select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as amount from orders"
-OLD, NEW = f"old as ({ORD} where o_orderkey % 3 <> 0)", f"new as (select o_orderkey, 'X' as o_orderstatus, amount from ({ORD}) where o_orderkey % 5 = 0)"
+OLD, NEW = f"old as ({ORD} where o_orderstatus <> 'P')", f"new as (select o_orderkey, 'X' as o_orderstatus, amount from ({ORD} where o_orderpriority = '1-URGENT'))"
 
 
 def old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = r.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
-    return rows.where("o_orderkey % 3 != 0"), rows.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
+    rows = r.read(spark, sf_dir, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(18,2)"))
+    columns = ["o_orderkey", "o_orderstatus", "amount"]
+    return rows.where("o_orderstatus != 'P'").select(columns), rows.where("o_orderpriority = '1-URGENT'").withColumn("o_orderstatus", F.lit("X")).select(columns)
 
 
 @query(f"with {OLD}, {NEW} select * from old where o_orderkey not in (select o_orderkey from new) union all select * from new")
