@@ -10,6 +10,8 @@ a keyed tag.  All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, however often then uses it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def draw(key: str, kind: str, r: Column, x: Column) -> Column:
     """The round function: 52 bits of a keyed digest."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), x.cast("string"), F.lit(key)).cast("binary"), 256), 1, 13), 16, 10).cast("long")
@@ -51,49 +58,44 @@ def permute_digits(key: str, kind: str, digits: Column) -> Column:
     half = (n / 2).cast("int")
     power = lambda k: F.element_at(F.array(*(F.lit(10**i) for i in range(1, 11))), k)
     a, b = F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, n)
-    out = feistel(key, kind, a, b, power(half), power(n - half))
-    return F.concat(F.lpad(out["a"].cast("string"), half, F.lit("0")), F.lpad(out["b"].cast("string"), n - half, F.lit("0")))
+    return let(feistel(key, kind, a, b, power(half), power(n - half)), lambda out: F.concat(F.lpad(out["a"].cast("string"), half, F.lit("0")), F.lpad(out["b"].cast("string"), n - half, F.lit("0"))))
 
 
 def with_digits(m: Column, digits: Column) -> Column:
     """m with its digits, from the first on, replaced by others; all else stays."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
-    put = lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], F.substring(digits, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
-    return F.aggregate(F.split(m, ""), start, put)["out"]
+    put = lambda d: lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], F.substring(d, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
+    return let(digits, lambda d: F.aggregate(F.split(m, ""), start, put(d))["out"])
 
 
 def luhn(digits: Column) -> Column:
     """The check sum of a digit string; 0 is valid."""
-    n = F.length(digits)
 
-    def worth(i: Column) -> Column:
-        d = F.substring(digits, n - i + 1, F.lit(1)).cast("int")
-        twice = d * 2
-        return F.when(i % 2 == 1, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
+    def worth(digits: Column, i: Column) -> Column:
+        d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
+        return F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + worth(i)) % 10
+    return let(digits, lambda ds: F.aggregate(F.sequence(F.lit(1), F.length(ds)), F.lit(0), lambda s, i: s + worth(ds, i)) % 10)
 
 
 def new_card(key: str, m: Column) -> Column:
     """The first digit (its network) stays, the account is permuted, the check digit follows."""
-    d = digits_of(m)
-    body = F.concat(F.substring(d, 1, 1), permute_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
-    check = (10 - luhn(F.concat(body, F.lit("0")))) % 10
-    return with_digits(m, F.concat(body, check.cast("string")))
+    body = let(digits_of(m), lambda d: F.concat(F.substring(d, 1, 1), permute_digits(key, "card", F.substring(d, F.lit(2), F.length(d) - 2))))
+    whole = let(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+    return with_digits(m, whole)
 
 
 def new_phone(key: str, m: Column) -> Column:
     """The country code stays, the rest is permuted."""
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, with_digits(rest, permute_digits(key, "phone", digits_of(rest))))
+    rest = lambda c: F.substring(m, F.length(c) + 1, F.length(m))
+    return let(code, lambda c: F.concat(c, let(rest(c), lambda x: with_digits(x, permute_digits(key, "phone", digits_of(x))))))
 
 
 def new_ip(key: str, m: Column) -> Column:
-    o = F.split(m, r"\.")
-    part = lambda i: F.element_at(o, i).cast("int")
-    out = feistel(key, "ip", part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536))
-    return F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(out[h] / 256), out[h] % 256)))
+    part = lambda i: F.element_at(F.split(m, r"\."), i).cast("int")
+    halves = feistel(key, "ip", part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536))
+    return let(halves, lambda out: F.concat_ws(".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(out[h] / 256), out[h] % 256))))
 
 
 #: Days from 1900-01-01 that a date may be, as a product: 280 * 261 = 73080 reach to 2100-01-31.
@@ -108,21 +110,19 @@ def as_date(m: Column) -> Column:
 
 
 def new_date(key: str, m: Column) -> Column:
-    day = as_date(m)
-    out = feistel(key, "date", (day / DAYS[1]).cast("long"), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-    date = F.date_add(F.lit("1900-01-01").cast("date"), (out["a"] * DAYS[1] + out["b"]).cast("int"))
-    first = F.coalesce(F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "dd.MM.yyyy")).isNotNull()
-    return F.when(m.contains("-"), F.date_format(date, "yyyy-MM-dd")).when(m.contains("."), F.date_format(date, "dd.MM.yyyy")).when(first, F.date_format(date, "dd/MM/yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy"))
+    moved = let(as_date(m), lambda day: feistel(key, "date", (day / DAYS[1]).cast("long"), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1])))
+    date = let(moved, lambda out: F.date_add(F.lit("1900-01-01").cast("date"), (out["a"] * DAYS[1] + out["b"]).cast("int")))
+    show = lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).when(F.try_to_date(m, "dd/MM/yyyy").isNotNull(), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+    return let(date, show)
 
 
 def new_ssn(key: str, m: Column) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
-    p = F.split(m, "-")
-    part = lambda i: F.element_at(p, i).cast("int")
+    part = lambda i: F.element_at(F.split(m, "-"), i).cast("int")
     area = part(1) - 1 - F.when(part(1) > 666, 1).otherwise(0)
-    out = feistel(key, "ssn", area, (part(2) - 1) * 9999 + part(3) - 1, F.lit(898), F.lit(99 * 9999))
-    back = out["a"] + 1 + F.when(out["a"] >= 665, 1).otherwise(0)
-    return F.format_string("%03d-%02d-%04d", back, F.floor(out["b"] / 9999) + 1, out["b"] % 9999 + 1)
+    moved = feistel(key, "ssn", area, (part(2) - 1) * 9999 + part(3) - 1, F.lit(898), F.lit(99 * 9999))
+    back = lambda a: a + 1 + F.when(a >= 665, 1).otherwise(0)
+    return let(moved, lambda out: F.format_string("%03d-%02d-%04d", back(out["a"]), F.floor(out["b"] / 9999) + 1, out["b"] % 9999 + 1))
 
 
 def tag(key: str, kind: str, m: Column) -> Column:
