@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ids
+from .arrays import WORKER
 
 #: A worker's word cache starts anew beyond this many words.
 CACHE_WORDS = 600_000
@@ -138,7 +138,7 @@ class WordTokens:
 
 def words_of_worker(path: str | None) -> WordTokens:
     """One tokenizer and word cache for all tasks of a Python worker; what they hold never changes a result."""
-    held = sys.modules.setdefault("tallyforge_worker", types.ModuleType("tallyforge_worker")).__dict__.setdefault("words", {})
+    held = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__.setdefault("words", {})
     if path not in held:
         held[path] = WordTokens(path)
     return held[path]

@@ -44,10 +44,14 @@ def signed_as_of(log: DataFrame, weeks: DataFrame) -> DataFrame:
     return cells.groupBy(F.col("part.row_id").alias("row_id"), "week_no").agg(F.count_if(F.coalesce(status_tier(F.col("status")) == 2, F.lit(False))).alias("signed"), F.count("*").alias("types"))
 
 
+def status_tier_first(log: DataFrame) -> DataFrame:
+    """The day each row was first signed."""
+    return log.where(status_tier(F.col("status")) == 2).groupBy("row_id").agg(F.min("status_date").alias("first_signed"))
+
+
 def group_rollup(log: DataFrame, group: str = "tab_id") -> DataFrame:
     """By group: members, signed ones, the last of their first signings, and the most usual status of the others (smallest on ties)."""
-    first = log.where(status_tier(F.col("status")) == 2).groupBy("row_id").agg(F.min("status_date").alias("first_signed"))
-    rows = current_status(log).join(first, "row_id", "left")
+    rows = current_status(log).join(status_tier_first(log), "row_id", "left")
     signed = status_tier(F.col("status")) == 2
     return rows.groupBy(group).agg(F.count("*").alias("members"), F.count_if(signed).alias("signed"), F.max("first_signed").alias("last_first_signed"), F.expr("mode() within group (order by status) filter (where status <> 'signed')").alias("usual"))
 
