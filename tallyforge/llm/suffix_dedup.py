@@ -11,6 +11,8 @@ decides.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,18 +114,18 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
     marked = window - gram + 1  # a window's length with its minimizer as one symbol
 
     def keys_of(table: pa.Table, told: pa.Table):
-        doc_id, copies, out = ids(table["doc_id"]), joined(told["copies"], np.int64), []
+        doc_id, copied, out = ids(table["doc_id"]), later_copies(table, told), []
         for i, j, data, offsets in runs(*buffers(table["text"])):
-            begin, _, _, key = pieces(*without(data, offsets, np.flatnonzero(np.isin(doc_id[i:j], copies))), window, gram)
+            begin, _, _, key = pieces(data, offsets, ~copied[i:j], window, gram)
             out.append((doc_id[i + np.searchsorted(offsets, begin, "right") - 1], key))
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
-    def found(table: pa.Table, known: np.ndarray, df: np.ndarray, copies: np.ndarray):
+    def found(table: pa.Table, known: np.ndarray, df: np.ndarray, copied: np.ndarray):
         """Pieces with a shared minimizer: run, its bytes, document index, first and last window, minimizer's place, key, piece's fingerprint."""
         known, at = np.unique(known, return_index=True)
-        df, doc_id = df[at], ids(table["doc_id"])
+        df = df[at]
         for i, j, data, offsets in runs(*buffers(table["text"])):
-            begin, stop, place, key = pieces(*without(data, offsets, np.flatnonzero(np.isin(doc_id[i:j], copies))), window, gram)
+            begin, stop, place, key = pieces(data, offsets, ~copied[i:j], window, gram)
             tag = short(key, buckets)
             ok = isin_sorted(tag, known)
             begin, stop, place, key, tag = begin[ok], stop[ok], place[ok], key[ok], tag[ok]
@@ -140,7 +142,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
         out = []
         if table.num_rows and len(heard(told)[0]):
             doc_id, parts = ids(table["doc_id"]), []
-            for i, _, data, _, doc, begin, stop, place, key, sid in found(table, *heard(told)):
+            for i, _, data, _, doc, begin, stop, place, key, sid in found(table, *heard(told), later_copies(table, told)):
                 order = np.lexsort((sid, key))
                 at = order[group_edges_of(key[order], sid[order])]
                 first = np.sort(at)
@@ -205,15 +207,15 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
 
     def settle(table: pa.Table, told: pa.Table) -> pa.Table:
         doc_id, n_removed, n_spans, kept = ids(table["doc_id"]), [], [], []
-        keys, df, copies = heard(told)
-        copied = np.isin(doc_id, copies)
+        keys, df = heard(told)
+        copied = later_copies(table, told)
         sids, a, b, owner = (joined(told[c].drop_null(), t) for c, t in (("sids", np.uint64), ("a", np.uint32), ("b", np.uint32), ("owner", np.int64)))
         order = np.argsort(sids, kind="stable")
         sids, a, b, owner = sids[order], a[order].astype(np.int64), b[order].astype(np.int64), owner[order]
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.binary())})
         n_bytes = []
-        for i, j, data, offsets, doc, begin, _, _, _, sid in found(table, keys, df, copies):
+        for i, j, data, offsets, doc, begin, _, _, _, sid in found(table, keys, df, copied):
             low, high = np.searchsorted(sids, sid, "left"), np.searchsorted(sids, sid, "right")
             n = high - low
             which = np.repeat(np.arange(len(sid)), n)
@@ -240,8 +242,8 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
     # of equal texts only the one with the smallest id need be looked into
     digest = texts.select("cell", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
-    later = digest.join(first, "digest").where("doc_id != first").groupBy("cell").agg(F.collect_set("doc_id").alias("copies"))
-    copies = later.groupBy("cell").applyInArrow(as_binary, "cell int, copies binary")
+    later = digest.join(first, "digest").where("doc_id != first").groupBy("cell").agg(F.collect_set(F.struct("doc_id", "digest")).alias("copies"))
+    copies = later.groupBy("cell").applyInArrow(as_binary, "cell int, copies binary, digests binary")
     by_cell = texts.groupBy("cell")
     known = shared(texts, keys_of, buckets, copies).unionByName(copies, allowMissingColumns=True)
     owned = by_cell.cogroup(known.groupBy("cell")).applyInArrow(claim, PIECES)
@@ -250,21 +252,29 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
 
 
 def as_binary(table: pa.Table) -> pa.Table:
-    return pa.table({"cell": table["cell"], "copies": pa.array([np.array(x, np.int64).tobytes() for x in table["copies"].to_pylist()], pa.binary())})
+    copies = table["copies"].to_pylist()
+    return pa.table({"cell": table["cell"], "copies": pa.array([np.array([x["doc_id"] for x in c], np.int64).tobytes() for c in copies], pa.binary()), "digests": pa.array([b"".join(bytes.fromhex(x["digest"]) for x in c) for c in copies], pa.binary())})
 
 
-def heard(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shared minimizers, their document frequencies, and the documents that are later copies."""
+def heard(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shared minimizers and their document frequencies."""
     if not told.num_rows:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
-    return joined(told["keys"].drop_null(), np.uint64), joined(told["df"].drop_null(), np.uint32), joined(told["copies"].drop_null(), np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    return joined(told["keys"].drop_null(), np.uint64), joined(told["df"].drop_null(), np.uint32)
 
 
-def without(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """data, offsets and, for each document, whether it is to be looked into."""
-    use = np.ones(len(offsets) - 1, bool)
-    use[docs] = False
-    return data, offsets, use
+def later_copies(table: pa.Table, told: pa.Table) -> np.ndarray:
+    """For each row, whether a document with a smaller id has the same text; an id may have other texts, which are no copies."""
+    doc_id = ids(table["doc_id"])
+    if not told.num_rows or not table.num_rows:
+        return np.zeros(len(doc_id), bool)
+    copies, digests = joined(told["copies"].drop_null(), np.int64), b"".join(told["digests"].drop_null().to_pylist())
+    known = {(d, digests[32 * k : 32 * k + 32]) for k, d in enumerate(copies.tolist())}
+    copied = np.isin(doc_id, copies)
+    data, offsets = buffers(table["text"])
+    for k in np.flatnonzero(copied).tolist():
+        copied[k] = (int(doc_id[k]), hashlib.sha256(data[offsets[k] : offsets[k + 1]]).digest()) in known
+    return copied
 
 
 def group_edges_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:

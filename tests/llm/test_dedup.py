@@ -85,6 +85,17 @@ def test_suffixes(nasty, rows, big, hot):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_suffixes_of_an_id_with_a_copy_and_another_text(spark, big, hot):
+    rng = random.Random(11)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(30)) for x in "abc")
+    rows = [(5, a), (7, a), (7, b), (9, f"start {b} end"), (7, None), (3, c), (7, c), (None, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_suffixes(docs, 50, hot_docs=hot).collect()]
+    want = [(i, n, g, s, bytes(k)) for i, n, g, s, k in by_rows(rows, big, lambda t: (t or "").encode(), 50)]
+    assert (7, len(b), 0, 0, b.encode()) in want and sorted(got, key=key) == sorted(want, key=key)
+
+
 def groups(pairs_of, nodes):
     label = {n: n for n in nodes}
     changed = True
