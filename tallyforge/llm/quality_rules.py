@@ -23,8 +23,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 UNIT = 1 << 12
 #: A covariance's diagonal is raised by this variance, so that a statistic that is constant in a group does not reject what differs by chance.
 LEAST_SPREAD = {"chars": 0.05, "symbols": 0.05, "lines": 0.15, "repeats": 0.15}
-#: Groups of fewer rows are judged with all small groups of their language.
-LEAST_GROUP = 200
+#: Each group's estimate counts so many rows' worth of its language's, so a small group is drawn towards it and a large one is its own.
+LEAST_GROUP = 2
 #: Share of rows that the estimate rests on, and steps towards it.
 CORE, STEPS = 0.75, 4
 #: The median of chi-squared with 4 degrees of freedom.
@@ -71,10 +71,21 @@ NAMES = tuple(LEAST_SPREAD)
 PAIRS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
 
 
-def scatter(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, from exact integer sums."""
-    sums = rows.groupBy("lang", "pool").agg(F.count("*").alias("n"), *(F.sum(a).cast("double").alias(f"s_{a}") for a in NAMES), *(F.sum(F.col(a) * F.col(b)).cast("double").alias(f"s_{a}_{b}") for a, b in PAIRS))
-    out = sums.select("lang", "pool", *((F.col(f"s_{a}") / F.col("n") / UNIT).alias(f"m_{a}") for a in NAMES), *((F.col(f"s_{a}_{b}") / F.col("n") / UNIT / UNIT).alias(f"q_{a}_{b}") for a, b in PAIRS))
+def towards_language(groups: DataFrame, languages: DataFrame, names: list[str], weight: float) -> DataFrame:
+    """Values of groups of n rows, averaged with `weight` rows' worth of their language's."""
+    n, whole = F.col("n"), languages.select("lang", *(F.col(a).alias(f"of_{a}") for a in names))
+    return groups.join(whole, "lang").select("lang", "source", *(((n * F.col(a) + weight * F.col(f"of_{a}")) / (n + weight)).alias(a) for a in names))
+
+
+def scatter(core: DataFrame, sizes: DataFrame, weight: float) -> DataFrame:
+    """Mean and Cholesky factor of each group's covariance, from exact integer sums; a group without core rows has its language's."""
+    parts = {f"m_{a}": F.col(a) for a in NAMES} | {f"q_{a}_{b}": F.col(a) * F.col(b) for a, b in PAIRS}
+    sums = settle(core.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in parts.items())))
+    whole = sums.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.col(k).cast("decimal(38,0)")).alias(k) for k in parts))
+    unit = {k: UNIT if k in [f"m_{a}" for a in NAMES] else UNIT * UNIT for k in parts}
+    mean = lambda rows, *keys: rows.select(*keys, "n", *((F.col(k).cast("double") / F.col("n") / unit[k]).alias(k) for k in parts))
+    own = sizes.select("lang", "source").join(mean(sums, "lang", "source"), ["lang", "source"], "left").na.fill(0)
+    out = towards_language(own, mean(whole, "lang"), list(parts), weight)
     for i, a in enumerate(NAMES):
         for j, b in enumerate(NAMES[: i + 1]):
             rest = F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")
@@ -84,17 +95,23 @@ def scatter(rows: DataFrame) -> DataFrame:
     return out.drop(*(f"q_{a}_{b}" for a, b in PAIRS))
 
 
-def start(rows: DataFrame) -> DataFrame:
+def start(rows: DataFrame, weight: float) -> DataFrame:
     """Medians and interquartile ranges of each group, as a first fit; from counts of rounded values, so exact and small."""
     rounded = {a: F.round(F.col(a) * 128 / UNIT) for a in NAMES}
-    found = rows.groupBy("lang", "pool").agg(*(F.percentile(rounded[a], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p_{a}") for a in NAMES))
-    out = found.select("lang", "pool", *((F.get(f"p_{a}", F.lit(1)) / 128).alias(f"m_{a}") for a in NAMES), *(F.sqrt(F.pow((F.get(f"p_{a}", F.lit(2)) - F.get(f"p_{a}", F.lit(0))) / 128 / 1.349, F.lit(2)) + LEAST_SPREAD[a] ** 2).alias(f"l_{a}_{a}") for a in NAMES))
+    names = [f"p{k}_{a}" for a in NAMES for k in range(3)]
+
+    def quartiles(*keys: str) -> DataFrame:
+        found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile(rounded[a], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p_{a}") for a in NAMES))
+        return found.select(*keys, "n", *((F.get(f"p_{a}", F.lit(k)) / 128).alias(f"p{k}_{a}") for a in NAMES for k in range(3)))
+
+    found = towards_language(quartiles("lang", "source"), quartiles("lang"), names, weight)
+    out = found.select("lang", "source", *(F.col(f"p1_{a}").alias(f"m_{a}") for a in NAMES), *(F.sqrt(F.pow((F.col(f"p2_{a}") - F.col(f"p0_{a}")) / 1.349, F.lit(2)) + LEAST_SPREAD[a] ** 2).alias(f"l_{a}_{a}") for a in NAMES))
     return out.withColumns({f"l_{a}_{b}": F.lit(0.0) for a, b in PAIRS if a != b})
 
 
 def distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance from their group's centre."""
-    out = rows.join(fit, ["lang", "pool"])
+    out = rows.join(fit, ["lang", "source"])
     for i, a in enumerate(NAMES):
         rest = F.col(a) / UNIT - F.col(f"m_{a}")
         for b in NAMES[:i]:
@@ -103,14 +120,17 @@ def distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return out.select(*rows.columns, sum((F.col(f"y_{a}") * F.col(f"y_{a}") for a in NAMES), F.lit(0.0)).alias("d2"))
 
 
-def quantile_bin(rows: DataFrame, share: float, name: str) -> DataFrame:
-    """The bin of d2 by which so large a share of each group's rows is reached."""
-    counts = rows.groupBy("lang", "pool", "bin").count()
-    whole = counts.groupBy("lang", "pool").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "count")))).alias("bins"))  # as many bins as a double's logarithm has
-    entries = F.array_sort(F.map_entries("bins"))
-    total = F.aggregate(F.map_values("bins"), F.lit(0).cast("long"), lambda s, x: s + x)
-    reach = F.aggregate(entries, F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("bin")), lambda s, x: F.struct((s["n"] + x["value"]).alias("n"), F.coalesce(s["bin"], F.when(s["n"] + x["value"] >= total * share, x["key"])).alias("bin")))
-    return whole.select("lang", "pool", reach["bin"].alias(name))
+def quantile_bin(rows: DataFrame, share: float, name: str, weight: float) -> DataFrame:
+    """The bin of d2 by which so large a share of each group's rows is reached, drawn towards the language's."""
+    counts = settle(rows.groupBy("lang", "source", "bin").count())
+
+    def reached(*keys: str) -> DataFrame:
+        whole = counts.groupBy(*keys, "bin").agg(F.sum("count").alias("count")).groupBy(*keys).agg(F.sum("count").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin", "count")))).alias("bins"))  # as many bins as a double's logarithm has
+        entries = F.array_sort(F.map_entries("bins"))
+        reach = F.aggregate(entries, F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("bin")), lambda s, x: F.struct((s["n"] + x["value"]).alias("n"), F.coalesce(s["bin"], F.when(s["n"] + x["value"] >= F.col("n") * share, x["key"])).alias("bin")))
+        return whole.select(*keys, "n", reach["bin"].alias(name))
+
+    return towards_language(reached("lang", "source"), reached("lang"), [name], weight)
 
 
 def binned(rows: DataFrame) -> DataFrame:
@@ -121,8 +141,10 @@ def quality_rules(docs: DataFrame, most_distance: float = 28.0, core: float = CO
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2.
 
     A row fails the base rules with under 50 words or with more than half its words in
-    repeated 3-word windows.  Of the others, those whose squared distance (scaled so that
-    the group's median is that of chi-squared) exceeds most_distance are not kept.  A null
+    repeated 3-word windows.  Of the others, those whose squared distance (scaled down where
+    the group's median is above that of chi-squared) exceeds most_distance are not kept.
+    Every language and source is estimated itself, with least_group (above 0) rows' worth
+    of its language.  A null
     text has no words; null lang and source count as empty; an empty table gives no rows;
     repeated rows each count; other columns are ignored.  d2 is null where a row failed.
     """
@@ -130,16 +152,16 @@ def quality_rules(docs: DataFrame, most_distance: float = 28.0, core: float = CO
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = settle(stats.withColumn("base_failed", failed).withColumns(transformed()))
     able = rows.where("not base_failed")
-    pools = able.groupBy("lang", "source").agg(F.count("*").alias("group_rows")).select("lang", "source", F.when(F.col("group_rows") >= least_group, F.concat(F.lit("="), "source")).otherwise("").alias("pool"))
-    vectors = able.join(pools, ["lang", "source"]).select("lang", "pool", *NAMES)
-    fit = settle(start(vectors))
+    vectors = able.select("lang", "source", *NAMES)
+    fit = settle(start(vectors, least_group))
+    sizes = fit.select("lang", "source")
     for _ in range(steps):
         near = binned(distance(vectors, fit))
-        cut = quantile_bin(near, core, "cut")
-        fit = settle(scatter(near.join(cut, ["lang", "pool"]).where("bin <= cut")))
+        cut = quantile_bin(near, core, "cut", least_group)
+        fit = settle(scatter(near.join(cut, ["lang", "source"]).where("bin <= cut + 1e-6"), sizes, least_group))
     near = binned(distance(vectors, fit))
-    scale = settle(quantile_bin(near, 0.5, "mid"))
-    judged = distance(rows.where("not base_failed").join(pools, ["lang", "source"]), fit).join(scale, ["lang", "pool"])
+    scale = settle(quantile_bin(near, 0.5, "mid", least_group))
+    judged = distance(able, fit).join(scale, ["lang", "source"])
     judged = judged.withColumn("d2", F.col("d2") * F.least(F.lit(1.0), MEDIAN_4 / F.exp((F.col("mid") + 0.5) / BINS)))
     result = judged.select("doc_id", *STATS, "base_failed", (F.col("d2") <= most_distance).alias("kept"), "d2")
     return result.unionByName(rows.where("base_failed").select("doc_id", *STATS, "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2")))

@@ -122,6 +122,20 @@ def test_quality_rules_reject_outliers_only(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(40))
 
 
+def test_quality_rules_judge_small_sources_themselves(spark):
+    rng = random.Random(2)
+
+    def prose(n, least, most, mark=""):
+        return " ".join("".join(rng.choice("aeionrst") for _ in range(rng.randrange(least, most))) + mark for _ in range(n))
+
+    rows = [(i, prose(rng.randrange(60, 300), 2, 8), "en", "tight") for i in range(60)]
+    rows += [(100 + i, prose(rng.randrange(60, 300), 2, 3 + 4 * (i % 10)), "en", f"wide{i % 4}") for i in range(160)]
+    rows += [(1000, prose(200, 14, 20), "en", "tight")]  # as long as words of the other sources
+    rows += [(1001, prose(200, 2, 8, "#$%&|"), "en", "alone")]  # no other row of its source
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[1000] and not got[1001] and all(got[i] for i in range(60))
+
+
 def test_feistel_permutes(spark):
     rows = spark.range(2600).select(feistel("k", "x", F.floor(F.col("id") / 26), F.col("id") % 26, F.lit(100), F.lit(26)).alias("p")).collect()
     assert len({tuple(r.p) for r in rows}) == 2600 and all(0 <= r.p.a < 100 and 0 <= r.p.b < 26 for r in rows)
