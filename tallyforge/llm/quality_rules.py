@@ -22,13 +22,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Fixed point of a transformed statistic; products of two, none above 2**24, then add up exactly in a long for 10**11 rows.
 UNIT = 1 << 12
 #: A covariance's diagonal is raised by this variance, so that a statistic that is constant in a group does not reject what differs by chance.
-LEAST_SPREAD = {"chars": 0.05, "symbols": 0.05, "lines": 0.15, "repeats": 0.15}
+LEAST_SPREAD = {"chars": 0.05, "symbols": 0.05, "lines": 0.05, "repeats": 0.05}
 #: Each group's estimate counts so many rows' worth of its language's, so a small group is drawn towards it and a large one is its own.
 LEAST_GROUP = 2
 #: Share of rows that the estimate rests on, and steps towards it.
 CORE, STEPS = 0.75, 4
-#: The median of chi-squared with 4 degrees of freedom.
-MEDIAN_4 = 3.356694
+#: The median and the 99.9 % point of chi-squared with 4 degrees of freedom.
+MEDIAN_4, MOST_4 = 3.356694, 18.466827
 #: Squared distances are counted in bins of 1/64 of a natural logarithm.
 BINS = 64
 
@@ -137,7 +137,7 @@ def binned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-12) * BINS).cast("long"))
 
 
-def quality_rules(docs: DataFrame, most_distance: float = 28.0, core: float = CORE, steps: int = STEPS, least_group: int = LEAST_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, most_distance: float = MOST_4, core: float = CORE, steps: int = STEPS, least_group: int = LEAST_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2.
 
     A row fails the base rules with under 50 words or with more than half its words in

@@ -136,6 +136,24 @@ def test_quality_rules_judge_small_sources_themselves(spark):
     assert not got[1000] and not got[1001] and all(got[i] for i in range(60))
 
 
+def test_quality_rules_reject_an_outlier_of_each_statistic(spark):
+    rng = random.Random(3)
+
+    def words(n, least=4, most=9):
+        return ["".join(rng.choice("aeionrst") for _ in range(rng.randrange(least, most))) for _ in range(n)]
+
+    rows = [(i, " ".join(words(rng.randrange(100, 300))) if i % 2 else "\n".join(words(rng.randrange(100, 300)))) for i in range(150)]
+    rows = [(i, t) for i, t in rows if len(set(t.split("\n"))) == len(t.split("\n"))]
+    clean, again = [i for i, _ in rows], words(45)
+    rows += [(1000, " ".join(words(200, 20, 30))), (1001, " ".join(f"{w}#$%" for w in words(200)))]
+    rows += [(1002, "\n".join(x for k, w in enumerate(words(120)) for x in ([w, "same"] if k % 2 else [w])))]
+    rows += [(1003, " ".join([*again, *words(110), *again]))]  # 45 % of its words, in one line
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in range(1000, 1004))
+    assert sum(not got[i].kept for i in clean) <= 0.02 * len(clean)
+
+
 def test_feistel_permutes(spark):
     rows = spark.range(2600).select(feistel("k", "x", F.floor(F.col("id") / 26), F.col("id") % 26, F.lit(100), F.lit(26)).alias("p")).collect()
     assert len({tuple(r.p) for r in rows}) == 2600 and all(0 <= r.p.a < 100 and 0 <= r.p.b < 26 for r in rows)
