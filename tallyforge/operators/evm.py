@@ -57,13 +57,15 @@ def deficit(required: Column, actual: Column) -> dict[str, Column]:
     return {"deficit": F.when(actual < required, required - actual), "surplus": F.when(actual > required, actual - required), "coverage": F.round(F.try_divide(F.lit(100.0) * actual, required), 6)}
 
 
-def losses(rows: DataFrame, blockers: DataFrame) -> DataFrame:
+def losses(rows: DataFrame, blockers: DataFrame, today: str | None = None) -> DataFrame:
     """By kind of blocker: each day's deficit counts once for every blocker open that day; lost, days, blocker days and overlaps.
 
     Days and blockers meet by day, so this is an equi-join however long a blocker lasts.
+    A blocker that is not resolved is open until today; without today it counts no day.
     """
     lack = rows.groupBy("work_id", "date").agg(F.sum("planned").alias("planned"), F.sum("actual").alias("actual")).where("actual < planned").select("work_id", "date", (F.col("planned") - F.col("actual")).alias("lost"))
-    open_days = blockers.where("resolved is not null and resolved >= raised").select("work_id", "kind", F.explode(F.sequence("raised", "resolved")).alias("date"))
+    end = F.coalesce(F.col("resolved"), F.lit(today).cast("date"))
+    open_days = blockers.withColumn("end", end).where("end >= raised").select("work_id", "kind", F.explode(F.sequence("raised", "end")).alias("date"))
     hit = lack.join(open_days, ["work_id", "date"])
     return hit.groupBy("kind").agg(F.sum("lost").alias("lost"), F.count("*").alias("blocker_days"), F.count_distinct("work_id", "date").alias("days")).withColumn("overlap_days", F.col("blocker_days") - F.col("days"))
 

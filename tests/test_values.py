@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import calendar as cal
 from tallyforge.functions import expressions as ex
-from tallyforge.operators import forecast, matching, merge, versioned
+from tallyforge.operators import evm, forecast, matching, merge, versioned
 from tallyforge.sources import readers
 from tallyforge.streaming import latest as streaming
 
@@ -132,3 +132,10 @@ def test_streaming_latest(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()} == {(1, 2.0), (2, 3.0)}
+
+
+def test_losses_of_open_blockers(spark):
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, k), 5, 3) for k in range(1, 7)], "work_id int, date date, planned int, actual int")
+    blockers = spark.createDataFrame([(1, "a", dt.date(2024, 1, 3), None), (1, "b", dt.date(2024, 1, 1), dt.date(2024, 1, 2)), (1, "c", dt.date(2024, 1, 6), None)], "work_id int, kind string, raised date, resolved date")
+    got = {x.kind: (x.lost, x.blocker_days, x.overlap_days) for x in evm.losses(rows, blockers, "2024-01-05").collect()}
+    assert got == {"a": (6, 3, 0), "b": (4, 2, 0)}
