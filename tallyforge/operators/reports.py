@@ -68,5 +68,5 @@ def display_order(rows: DataFrame, group: str, row: str) -> DataFrame:
 
 def remarks(rows: DataFrame, group: str, text: str, most: int = 60) -> DataFrame:
     """The distinct remarks of each group, each cut at so many characters for display, in order."""
-    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(F.col(text))
-    return rows.where(F.col(text).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(cut)), "; ").alias("remarks"))
+    cut = lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("…"))).otherwise(t)
+    return rows.where(F.col(text).isNotNull()).groupBy(group).agg(F.array_join(F.array_sort(F.transform(F.collect_set(text), cut)), "; ").alias("remarks"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import calendar as cal
 from tallyforge.functions import expressions as ex
-from tallyforge.operators import evm, forecast, matching, merge, versioned
+from tallyforge.operators import evm, forecast, matching, merge, reports, versioned
 from tallyforge.sources import readers
 from tallyforge.streaming import latest as streaming
 
@@ -139,3 +139,8 @@ def test_losses_of_open_blockers(spark):
     blockers = spark.createDataFrame([(1, "a", dt.date(2024, 1, 3), None), (1, "b", dt.date(2024, 1, 1), dt.date(2024, 1, 2)), (1, "c", dt.date(2024, 1, 6), None)], "work_id int, kind string, raised date, resolved date")
     got = {x.kind: (x.lost, x.blocker_days, x.overlap_days) for x in evm.losses(rows, blockers, "2024-01-05").collect()}
     assert got == {"a": (6, 3, 0), "b": (4, 2, 0)}
+
+
+def test_remarks_with_a_common_prefix(spark):
+    rows = spark.createDataFrame([("g", "crack in wall 1"), ("g", "crack in wall 2"), ("g", "crack in wall 2"), ("g", None)], "g string, t string")
+    assert reports.remarks(rows, "g", "t", 5).first().remarks == "crack…; crack…"
