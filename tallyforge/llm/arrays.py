@@ -6,7 +6,6 @@ and their fingerprints are computed for many documents at once.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,6 @@ import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes, which bounds memory.
 RUN_BYTES = 1 << 20
-#: The module in which a Python worker keeps its word cache from task to task.
-WORKER = "tallyforge_worker"
 #: doc_id that stands for a null one: after every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -68,16 +65,8 @@ def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def release() -> None:
-    """Free what an earlier task of this Python worker left in its word cache."""
-    held = getattr(sys.modules.get(WORKER), "words", None)
-    if held:
-        held.clear()
-
-
 def runs(data: np.ndarray, offsets: np.ndarray, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole documents in runs: first, end, their bytes, their offsets."""
-    release()
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)

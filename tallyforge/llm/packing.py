@@ -9,139 +9,183 @@ a task leaves one partly filled window at most.
 
 from __future__ import annotations
 
-import json
-import re
-import sys
-import types
+import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import WORKER
+from .arrays import LOWER, NOT_SPACE, buffers, runs, word_bounds, word_hashes
 
-#: A worker's word cache starts anew beyond this many words.
-CACHE_WORDS = 600_000
+#: A task forgets its words' ids and starts anew when they take this many bytes.
+CACHE_BYTES = 32 << 20
 #: Rows of pieces are sent on in batches of about this many ids.
 BATCH_IDS = 1 << 20
+#: Words go to the tokenizer in texts of so many, parted by a word that none of them holds.
+JOINED_WORDS, PART = 64, "\x01"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
+#: Texts whose ids must be those of their words, if a tokenizer is to be asked by words.
+PROBES = ("ab cd", " ab", "ab ", "ab  cd", "ab\ncd", "\n\nab\t cd.\r\n", "it's 1 2, 34 - a-b\n- \u00e9\u00df x", f"ab {PART} cd {PART} 12")
 
-#: Words of printable ASCII, which byte-level tokenizers take as they are.
-PLAIN = re.compile(rb"[!-~]+").fullmatch
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(path: str | None):
+    """The tokenizer of a file, read once by a worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
+    from tokenizers import Tokenizer
 
-def own_pattern(tokenizer):
-    """The pattern by which a tokenizer finds its tokens' words, if it lowers case, finds them by one pattern and maps bytes one to one; else None."""
-    steps = json.loads(tokenizer.to_str())
-    normal, cut = steps.get("normalizer") or {}, steps.get("pre_tokenizer") or {}
-    lower = any(x.get("type") == "Lowercase" for x in normal.get("normalizers", ()))
-    parts = cut.get("pretokenizers", ())
-    if not lower or [x.get("type") for x in parts] != ["Split", "ByteLevel"] or not parts[0].get("invert") or parts[1].get("add_prefix_space") or parts[1].get("use_regex"):
-        return None
-    return regex.compile(parts[0]["pattern"]["Regex"]).findall
+    if path is None:
+        import public_tokenizers
 
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return Tokenizer.from_file(path)
 
-class WordTokens:
-    """Ids of words, each distinct word being tokenized once.
 
-    It fits tokenizers for which white space always parts tokens and leaves none.
-    """
+def room_for(held: np.ndarray, n: int) -> np.ndarray:
+    """held, with place for n entries at least."""
+    return held if len(held) >= n else np.concatenate([held, np.empty(max(n, 2 * len(held)) - len(held), held.dtype)])
+
+
+#: Bytes of a word by kind: ASCII letters, ASCII signs and digits, and what has rules of its own (an apostrophe, other scripts).
+LETTER, SIGN, OWN = 1, 2, 3
+KIND = np.full(256, SIGN, np.uint8)
+KIND[0x61:0x7B] = LETTER
+KIND[[0x27, *range(0x80, 0x100)]] = OWN
+
+
+def finer(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_bounds of the runs of letters and of signs that words fall into; a word with an apostrophe or a byte beyond ASCII stays whole."""
+    kind = KIND[data] * NOT_SPACE[data]
+    at = np.flatnonzero(kind == OWN)
+    whole = np.searchsorted(at, starts) < np.searchsorted(at, ends)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts[whole]] = 1
+    inside[ends[whole]] -= 1
+    kind[np.cumsum(inside[:-1], dtype=np.int8) > 0] = OWN
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    at = np.flatnonzero(change)
+    word = kind[at[:-1]] > 0
+    starts = at[:-1][word]
+    return starts, at[1:][word], np.searchsorted(starts, offsets)
 
-    def __init__(self, path: str | None) -> None:
-        from tokenizers import Tokenizer
 
-        if path is None:
-            import public_tokenizers
+class WordTokens:
+    """Ids of texts.  Where white space parts a tokenizer's tokens, each distinct word is asked for once.
+
+    Words are told apart by two 64-bit fingerprints.  A tokenizer for which white space
+    counts gets whole texts, and so do texts with a special token's string.
+    """
 
-            path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cut = own_pattern(self.tokenizer)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, path: str | None, cache_bytes: int = CACHE_BYTES) -> None:
+        self.tokenizer, self.cache_bytes = tokenizer_of(path), cache_bytes
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] + [PART.encode()]
+        part = self.whole(PART)
+        self.by_word = len(part) == 1 and all(self.whole(t).tolist() == [x for w in t.split() for x in self.whole(w).tolist()] for t in PROBES)
+        self.part = int(part[0]) if len(part) else -1
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.folds = self.whole(letters.upper()).tolist() == self.whole(letters).tolist()
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.direct = self.folds and normal is not None and cut is not None and normal.normalize_str(letters) == letters and [t for t, _ in cut.pre_tokenize_str(letters)] == [letters]
+        signs = [chr(x) for x in range(0x21, 0x7F) if KIND[x] == SIGN and not chr(x).isupper()]
+        self.direct &= all(self.whole(f"ab{x}cd").tolist() == [y for w in ("ab", x, "cd") for y in self.whole(w).tolist()] for x in signs)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.known: dict[str, list[int]] = {}
-        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def parts(self, texts: list[str]) -> list[list[int]] | None:
-        """Ids of words by the tokenizer's own steps, over all of them at once; None if a step does not keep them apart."""
-        normal, cut, model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
-        if normal is None or cut is None:
-            return None
-        joined = normal.normalize_str(" ".join(texts))
-        lengths = [len(w) for w in joined.split(" ")]
-        if len(lengths) != len(texts):
-            return None
-        begins = np.cumsum(lengths) + np.arange(len(lengths)) - lengths
-        tokens = cut.pre_tokenize_str(joined)
-        word = np.searchsorted(begins, np.fromiter((t[1][0] for t in tokens), np.int64, len(tokens)), "right") - 1
-        known, out = self.known, [[] for _ in texts]
-        for k, (t, _) in zip(word.tolist(), tokens):
-            got = known.get(t)
-            if got is None:
-                got = known[t] = [x.id for x in model.tokenize(t)]
-            out[k] += got
-        return out
-
-    def plain_ids(self, word: str) -> list[int]:
-        """Ids of a word of printable ASCII in lower case, cut by the tokenizer's own pattern."""
-        known, out = self.known, []
-        for t in self.cut(word):
-            got = known.get(t)
-            if got is None:
-                got = known[t] = [x.id for x in self.tokenizer.model.tokenize(t)]
-            out += got
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if self.cut and PLAIN(w) and b"<|" not in w]
-        found = [self.plain_ids(w.decode().lower()) for w in plain]
-        rest = [w for w in words if not (self.cut and PLAIN(w) and b"<|" not in w)]
-        texts = [w.decode() for w in rest]
-        odd = [len(t.split()) != 1 or any(s in t for s in self.special) for t in texts]
-        other = self.parts([t for t, o in zip(texts, odd) if not o]) if rest else []
-        if other is None:
-            odd, other = [True] * len(texts), []
-        whole = (e.ids for e in self.tokenizer.encode_batch_fast([t for t, o in zip(texts, odd) if o], add_special_tokens=False))
-        others = iter(other)
-        found += [next(whole) if o else next(others) for o in odd]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.uint32, int(n.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.length, self.flat = np.concatenate([self.length, n]), np.concatenate([self.flat, flat])
-        self.index.update(zip(plain + rest, range(len(self.index), len(self.index) + len(words))))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        lower = self.cut is not None  # then case does not matter, but in special tokens
-        split = [(raw.lower() if lower and b"<|" not in raw else raw).split() for raw in ((t or "").encode() for t in texts)]
-        if len(self.index) > CACHE_WORDS:
+        self.known = np.empty(0, np.uint64)  # sorted fingerprints; the next three go with them
+        self.second, self.start, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.flat, self.used = np.empty(1 << 12, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        joined = [f" {PART} ".join(w.decode() for w in words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        got: list[int] = []
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            got += e.ids
+            got.append(self.part)
+        flat = np.array(got, np.uint32)
+        ends = np.flatnonzero(flat == self.part)
+        return flat[flat != self.part], np.diff(ends, prepend=-1) - 1
+
+    def learn(self, words: list[bytes], letters: np.ndarray, key: np.ndarray, second: np.ndarray) -> None:
+        """Ids of new words; letters tells which are ASCII letters only, so one token before merges."""
+        plain = letters & self.direct
+        tokenize = self.tokenizer.model.tokenize
+        found = [[x.id for x in tokenize(words[i].decode())] for i in np.flatnonzero(plain).tolist()]
+        n = np.empty(len(words), np.int64)
+        n[plain] = np.fromiter(map(len, found), np.int64, len(found))
+        flat, n[~plain] = self.ask([words[i] for i in np.flatnonzero(~plain).tolist()])
+        start = np.empty(len(words), np.int64)
+        for part, ids in ((plain, np.fromiter((x for f in found for x in f), np.uint32, int(n[plain].sum()))), (~plain, flat)):
+            start[part] = self.used + np.cumsum(n[part]) - n[part]
+            self.flat = room_for(self.flat, self.used + len(ids))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        at = np.searchsorted(self.known, key)
+        self.known, self.second = np.insert(self.known, at, key), np.insert(self.second, at, second)
+        self.start, self.length = np.insert(self.start, at, start), np.insert(self.length, at, n)
+
+    def by_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts one after another, and where each text's begin (one more at the end)."""
+        if self.folds:
+            data = LOWER[data]
+        starts, ends, first = word_bounds(data, offsets, NOT_SPACE)
+        if self.direct and len(starts):
+            starts, ends, first = finer(data, offsets, starts, ends)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        key, at, word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        second = word_hashes(data, starts, ends, 2)
+        if (second != second[at][word]).any():  # two words of one fingerprint; never seen
+            key, at, word = np.arange(len(starts), dtype=np.uint64), np.arange(len(starts)), np.arange(len(starts))
+            self.clear()
+        second = second[at]
+        if 28 * len(self.known) + 4 * self.used > self.cache_bytes:
             self.clear()
-        new = set().union(*split).difference(self.index)
-        if new:
-            self.learn(sorted(new))
-        get = self.index.__getitem__
-        n_words = [len(w) for w in split]
-        at = np.fromiter((get(w) for ws in split for w in ws), np.int64, sum(n_words))
-        n = self.length[at]
-        ends = np.cumsum(n)
-        flat = self.flat[np.repeat(self.start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n_words)))]
-        return [flat[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
-
-
-def words_of_worker(path: str | None) -> WordTokens:
-    """One tokenizer and word cache for all tasks of a Python worker; what they hold never changes a result."""
-    held = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__.setdefault("words", {})
-    if path not in held:
-        held[path] = WordTokens(path)
-    return held[path]
+        for _ in range(2):
+            place = np.minimum(np.searchsorted(self.known, key), max(len(self.known) - 1, 0))
+            have = self.known[place] == key if len(self.known) else np.zeros(len(key), bool)
+            if not (have & (self.second[place] != second)).any() if len(self.known) else True:
+                break
+            self.clear()
+        new = np.flatnonzero(~have)
+        if len(new):
+            a, b, raw = starts[at[new]], ends[at[new]], data.tobytes()
+            other = np.concatenate(([0], np.cumsum((data < 0x61) | (data > 0x7A))))
+            self.learn([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], other[a] == other[b], key[new], second[new])
+            place = np.searchsorted(self.known, key)
+        n = self.length[place][word].astype(np.int64)
+        stops = np.cumsum(n)
+        flat = self.flat[np.repeat(self.start[place][word] - stops + n, n) + np.arange(int(stops[-1]))]
+        return flat, np.concatenate(([0], stops))[first]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """Each text's ids, in order."""
+        raw = data.tobytes()
+        odd = not self.by_word or any(s in raw for s in self.special)
+        whole = [i for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())) if odd and (not self.by_word or any(s in raw[a:b] for s in self.special))]
+        if whole:  # the others are asked for with these taken out
+            keep = np.ones(len(data), bool)
+            for i in whole:
+                keep[offsets[i] : offsets[i + 1]] = False
+            size = np.diff(offsets)
+            size[whole] = 0
+            flat, edges = self.by_words(data[keep], np.concatenate(([0], np.cumsum(size))))
+        else:
+            flat, edges = self.by_words(data, offsets)
+        apart = set(whole)
+        for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+            yield self.whole(raw[offsets[i] : offsets[i + 1]].decode()) if i in apart else flat[a:b]
 
 
 class Packer:
@@ -234,21 +278,15 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer_path: s
             return made
 
         for batch in batches:
-            words = words or words_of_worker(tokenizer_path)
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"]
-            at = 0
-            while at < len(texts):
-                some, size = [], 0
-                while at + len(some) < len(texts) and size < 1 << 20:
-                    some.append(texts[at + len(some)].as_py())
-                    size += len(some[-1] or "")
-                for doc, tokens in zip(doc_ids[at : at + len(some)], words.encode(some)):
+            words = words or WordTokens(tokenizer_path)
+            doc_ids = batch["doc_id"].to_pylist()
+            for i, j, data, offsets in runs(*buffers(batch["text"])):
+                for doc, tokens in zip(doc_ids[i:j], words.encode(data, offsets)):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(tokens), window):
                         full = packer.add((doc, start, tokens[start : start + window], len(tokens)))
                         if full:
                             emit(full)
-                at += len(some)
                 if held_ids >= BATCH_IDS:
                     yield flush()
         for full in packer.finish():

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,13 +17,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import html_extract as hx
 from tallyforge.llm.decontaminate import build, decontaminate, stream
-from tallyforge.llm.packing import Packer, WordTokens, pack
+from tallyforge.llm.arrays import buffers
+from tallyforge.llm.packing import Packer, WordTokens, pack, tokenizer_of
 from tallyforge.llm.pii import as_date, feistel, luhn, permute_digits, pseudonymise
 from tallyforge.llm.quality_classifier import fit, fold_zero, keep_quality, score_quality
 from tallyforge.llm.quality_rules import base_stats, quality_rules
 from tallyforge.llm.queries import QUERIES
 from tallyforge.llm.sharding import byte_shards
 
+TOKENS = {}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -68,9 +72,28 @@ def test_packing(nasty, rows):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcXYZ019'.!-<|>é ßΣİ́ \n", max_size=40))
 def test_words_tokenize_like_texts(text):
-    words = WordTokens.cached = getattr(WordTokens, "cached", None) or WordTokens(None)
-    for t in (text, text + " it's <|endoftext|> The END"):
-        assert words.encode([t, None, t])[2].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        words = TOKENS.setdefault(name, WordTokens(public_tokenizers.path(name), cache_bytes=1 << 11))
+        assert words.by_word is (name[:4] == "word")
+        for t in (text, text + " it's <|endoftext|> The END", f"{text}\x01{text}"):
+            assert [x.tolist() for x in words.encode(*buffers(pa.array([t, None, t])))] == [words.tokenizer.encode(x, add_special_tokens=False).ids for x in (t, "", t)]
+
+
+def test_packing_of_a_table(spark, sf_dir):
+    """Every row's pieces against its ids from the tokenizer's own call, over all documents."""
+    ids = tokenizer_of(None).encode_batch_fast
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: np.array([*e.ids, 1], "<u4") for r, e in zip(docs, ids([r.text or "" for r in docs], add_special_tokens=False))}
+    got = QUERIES["op4_packing"](spark, sf_dir).collect()
+    assert len(want) == len(docs) and all(r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
+    places, windows = {}, {}
+    for r in got:
+        places.setdefault(r.doc_id, []).append((r.start, r.length))
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    gapless = lambda xs: [a for a, _ in sorted(xs)] == [sum(n for _, n in sorted(xs)[:k]) for k in range(len(xs))]
+    assert all(gapless(x) for x in places.values()) and {k: sum(n for _, n in v) for k, v in places.items()} == {k: len(v) for k, v in want.items()}
+    assert all(gapless(x) and sum(n for _, n in x) <= 2048 for x in windows.values())
+    assert sum(sum(n for _, n in x) < 2048 for x in windows.values()) <= spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
 
 
 @settings(max_examples=50, deadline=None)
