@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes, which bounds memory.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: doc_id that stands for a null one: after every other.
 NO_ID = np.iinfo(np.int64).max
 

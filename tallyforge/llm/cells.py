@@ -1,14 +1,20 @@
 """Exchange of fingerprints between cells of documents.
 
-Texts are dealt by doc_id into cells of a few megabytes.  A cell gathers the
+Texts are dealt by id and text into cells of a few megabytes.  A cell gathers the
 distinct fingerprints of its documents into one binary row per bucket of the
 fingerprint space; a bucket's task meets those of all cells and answers each
 cell.  So a fingerprint costs a few bytes in the shuffle, and one that a third
 of all documents share costs one entry per cell, not one per document.
+
+Cells and buckets keep their size, so their numbers grow with the input.  Where
+there are more than ROUTES buckets, a cell's rows would come down to a few bytes
+each; then it writes one row per route (a range of buckets), and a relay joins the
+rows of RELAY_CELLS cells on one route before it cuts them by bucket.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,17 +22,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELL_BYTES = 6 << 20
-BUCKET_BYTES = 24 << 20
+CELL_BYTES = 4 << 20
+BUCKET_BYTES = 12 << 20
+#: Cells and buckets in one partition of their exchange, and the most partitions of one.
+CELLS_EACH, BUCKETS_EACH, MOST_PARTITIONS = 3, 2, 1 << 16
+#: The most rows that a cell writes, and how many cells' rows a relay joins.
+ROUTES, RELAY_CELLS = 1 << 12, 1 << 10
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(cell, doc_id, text) of all rows, and the number of buckets for the input's bytes."""
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(cell, doc_id, text) of all rows where they lie, and the numbers of cells and buckets for the input's bytes.
+
+    Rows without an id, or of one id, are spread by their texts.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells, buckets = -(-total // CELL_BYTES) or 1, -(-total // BUCKET_BYTES) or 1
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell"), "doc_id", "text"), buckets
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(cells)).cast("int").alias("cell"), "doc_id", "text"), cells, buckets
+
+
+def deal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """dealt rows, parted by cell, and the number of buckets."""
+    rows, cells, buckets = dealt(docs, id_col, text_col)
+    return by_key(rows, "cell", cells // CELLS_EACH), buckets
+
+
+def by_key(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """rows parted by a key, with so many partitions within bounds; grouping by that key moves nothing more."""
+    return rows.repartition(min(max(1, partitions), MOST_PARTITIONS), key)
 
 
 def short(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -63,44 +87,69 @@ def count_docs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[at], np.add.reduceat(new.astype(np.int64), at)
 
 
-COUNTED = "bucket int, cell int, keys binary, docs binary"
+COUNTED = "bucket int, cell int, keys binary, docs binary, cells binary"
 SHARED = "cell int, keys binary, df binary"
 
 
-def shared(texts: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, told: DataFrame | None = None) -> DataFrame:
+def binary_rows(schema: list[str], rows: list[tuple]) -> pa.Table:
+    """A table of rows; columns named in schema are integers, those with a star before their names binary."""
+    return pa.table({c.lstrip("*"): pa.array([r[k] for r in rows], pa.binary() if c[0] == "*" else pa.int32()) for k, c in enumerate(schema)})
+
+
+def shared(texts: DataFrame, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], buckets: int, told: DataFrame | None = None, routes: int = ROUTES) -> DataFrame:
     """For each cell, the short fingerprints of its documents that two documents or more have, and in how many they occur.
 
     keys_of gives (documents' ids, fingerprints) of a cell, from its texts and, if given, from
     what the cell is told.  A 32-bit clash within a
     bucket may add a fingerprint; it never loses one.
     """
+    span = -(-buckets // routes)  # buckets of a route
 
     def gather(table: pa.Table, *heard: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return binary_rows(["bucket", "cell", "*keys", "*docs", "*cells"], [])
         doc, key = keys_of(table, *heard)
         key, n = count_docs(doc, short(key, buckets))
-        out = [(b, (key[s] & LOW).astype(np.uint32).tobytes(), n[s].astype(np.uint32).tobytes()) for b, s in by_bucket(key)]
-        cell = table["cell"][0].as_py()
-        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "cell": pa.array([cell] * len(out), pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "docs": pa.array([x[2] for x in out], pa.binary())})
+        n, cell = n.astype(np.uint32), table["cell"][0].as_py()
+        if span == 1:
+            out = [(b, cell, (key[s] & LOW).astype(np.uint32).tobytes(), n[s].tobytes(), None) for b, s in by_bucket(key)]
+        else:
+            route = key >> np.uint64(32)
+            route //= np.uint64(span)
+            edges = np.append(group_edges(route), len(key)).tolist()
+            out = [(int(route[a]), cell, key[a:b].tobytes(), n[a:b].tobytes(), None) for a, b in zip(edges, edges[1:])]
+        return binary_rows(["bucket", "cell", "*keys", "*docs", "*cells"], out)
+
+    def relay(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        cell = np.repeat(np.asarray(table["cell"].to_numpy(), np.uint32), [len(x) for x in parts])
+        key, n = np.concatenate(parts), joined(table["docs"], np.uint32)
+        order = np.argsort(key, kind="stable")
+        key, n, cell = key[order], n[order], cell[order]
+        out = [(b, int(cell[0]), (key[s] & LOW).astype(np.uint32).tobytes(), n[s].tobytes(), cell[s].tobytes()) for b, s in by_bucket(key)]
+        return binary_rows(["bucket", "cell", "*keys", "*docs", "*cells"], out)
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-        key, n = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.uint32) for x in table["docs"].to_pylist()])
+        key, n = joined(table["keys"], np.uint32), joined(table["docs"], np.uint32)
+        cell = [np.full(len(k) // 4, c, np.uint32) if own is None else np.frombuffer(own, np.uint32) for k, c, own in zip(*(table[x].to_pylist() for x in ("keys", "cell", "cells")))]
+        cell = np.concatenate(cell)
         order = np.argsort(key, kind="stable")
         at = group_edges(key[order])
         total = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-        df = np.empty(len(key), np.int64)
-        df[order] = np.repeat(total, np.diff(np.append(at, len(key))))
-        high, out, i = np.uint64(table["bucket"][0].as_py() << 32), [], 0
-        for cell, part in zip(table["cell"].to_pylist(), parts):
-            f = df[i : i + len(part)]
-            i += len(part)
-            if (ok := f > 1).any():
-                out.append((cell, (part[ok] | high).tobytes(), np.minimum(f[ok], 2**32 - 1).astype(np.uint32).tobytes()))
-        return pa.table({"cell": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "df": pa.array([x[2] for x in out], pa.binary())})
+        several = np.repeat(total > 1, np.diff(np.append(at, len(key))))
+        df = np.repeat(np.minimum(total, 2**32 - 1).astype(np.uint32), np.diff(np.append(at, len(key))))[several]
+        pick = order[several]
+        to = np.argsort(cell[pick], kind="stable")
+        cell, key, df = cell[pick][to], key[pick][to].astype(np.uint64) | np.uint64(table["bucket"][0].as_py() << 32), df[to]
+        edges = np.append(group_edges(cell), len(cell)).tolist()
+        return binary_rows(["cell", "*keys", "*df"], [(int(cell[a]), key[a:b].tobytes(), df[a:b].tobytes()) for a, b in zip(edges, edges[1:])])
 
     by_cell = texts.groupBy("cell")
     gathered = by_cell.applyInArrow(lambda table: gather(table), COUNTED) if told is None else by_cell.cogroup(told.groupBy("cell")).applyInArrow(lambda table, heard: gather(table, heard), COUNTED)
-    return gathered.groupBy("bucket").applyInArrow(meet, SHARED)
+    if span > 1:
+        blocks = gathered.withColumn("block", F.floor(F.col("cell") / RELAY_CELLS).cast("int"))
+        gathered = blocks.repartition(min(routes, MOST_PARTITIONS), "bucket", "block").groupBy("bucket", "block").applyInArrow(relay, COUNTED)
+    return by_key(gathered, "bucket", buckets // BUCKETS_EACH).groupBy("bucket").applyInArrow(meet, SHARED)
 
 
 def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -110,14 +159,20 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of our own only where none is set (tests, a single machine)."""
+    """The folder that spark.checkpoint.dir names; where that is unset, one below the warehouse, or on a single machine (local master) a temporary one."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="checkpoints-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A copy of the rows in the shared folder, which later steps read and lost executors can't take along."""
+    """A copy of the rows in the shared folder, which later steps read and lost executors can't take along.
+
+    Spark drops its files when nothing refers to it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import NO_ID, NOT_SPACE, buffers, covered, ids, isin_sorted, runs, window_hashes, window_starts, word_bounds, word_hashes
-from .cells import deal, group_edges, joined, shared, short
+from .cells import BUCKETS_EACH, by_key, deal, group_edges, joined, shared, short
 
 #: Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -162,7 +162,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     known = shared(texts, keys_of, buckets)
     by_cell = texts.groupBy("cell")
     owned = by_cell.cogroup(known.groupBy("cell")).applyInArrow(claim, OWNED)
-    replies = known.select("cell", "keys").unionByName(owned.groupBy("bucket").applyInArrow(meet, REPLY), allowMissingColumns=True)
+    replies = known.select("cell", "keys").unionByName(by_key(owned, "bucket", buckets // BUCKETS_EACH).groupBy("bucket").applyInArrow(meet, REPLY), allowMissingColumns=True)
     return by_cell.cogroup(replies.groupBy("cell")).applyInArrow(settle, RESULT)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NO_ID, buffers, covered, ids, isin_sorted, mix, runs, window_hashes, word_hashes
-from .cells import deal, group_edges, joined, shared, short
+from .cells import BUCKETS_EACH, CELLS_EACH, by_key, dealt, group_edges, joined, shared, short
 from .suffix_array import suffix_array
 
 PIECES = "bucket int, cell int, keys binary, sids binary, least binary, most binary, sizes binary, bytes binary"
@@ -67,38 +67,72 @@ def pieces(data: np.ndarray, offsets: np.ndarray, use: np.ndarray, window: int,
     return begin, stop, at[begin], grams[at[begin]]
 
 
+def apart(strings: list[bytes], window: int, parts: int = 6) -> list[list[int]]:
+    """Groups of strings such that two of different groups share no window.
+
+    Each string holds MARK once and each of its windows holds it too.  A window that begins
+    o before MARK, with o in one of a few ranges, has the range's least o before it and
+    so much after it that the range's greatest o leaves; strings without that context
+    in common share no such window.
+    """
+    group, first, bounds = list(range(len(strings))), {}, [window * k // parts for k in range(parts + 1)]
+
+    def top(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for k, s in enumerate(strings):
+        m = s.index(MARK)
+        for low, high in zip(bounds, bounds[1:]):
+            after = window - high
+            if m >= low and len(s) - m - 1 >= after:
+                other = first.setdefault((low, s[m - low : m + 1 + after]), k)
+                if other != k:
+                    group[top(k)] = top(other)
+    found: dict[int, list[int]] = {}
+    for k in range(len(strings)):
+        found.setdefault(top(k), []).append(k)
+    return list(found.values())
+
+
 def owners_of(strings: list[bytes], least: list[int], window: int) -> list[list[tuple[int, int, int]]]:
-    """For each of several distinct strings, runs of window places and the smallest owner of each: (from, to, owner)."""
-    own = [np.full(len(s) - window + 1, d, np.int64) for s, d in zip(strings, least)]
-    if len(strings) > 1:
+    """For each of several distinct strings with one MARK, runs of window places and the smallest owner of each: (from, to, owner)."""
+    own = [[d] * (len(s) - window + 1) for s, d in zip(strings, least)]
+    for some in apart(strings, window):
+        if len(some) == 1:
+            continue
         text, string, place = [], [], []
-        for k, s in enumerate(strings):
-            text += [x + len(strings) for x in s]
-            text.append(k)  # ends differ, so no match crosses strings
-            string += [k] * (len(s) + 1)
+        for k in some:
+            s = strings[k]
+            text += s
+            text.append(-1 - k)  # ends differ, so no match crosses strings
+            n = len(s) - window + 1
+            string += [k] * n + [-1] * window  # -1: no window begins there
             place += range(len(s) + 1)
-        last, run = b"", []
-
-        def close() -> None:
-            if len(run) > 1:
-                d = min(least[k] for k, _ in run)
-                for k, p in run:
-                    own[k][p] = d
-
+        last, run = None, []
         for i in suffix_array(text):
-            k, p = string[i], place[i]
+            k = string[i]
+            if k < 0:
+                continue
+            p = place[i]
             s = strings[k][p : p + window]
-            if len(s) < window:
+            if s == last:
+                run.append((k, p))
                 continue
-            if s != last:
-                close()
-                run, last = [], s
-            run.append((k, p))
-        close()
+            if len(run) > 1:
+                d = min(least[k] for k, _ in run)
+                for x, y in run:
+                    own[x][y] = d
+            run, last = [(k, p)], s
+        if len(run) > 1:
+            d = min(least[k] for k, _ in run)
+            for x, y in run:
+                own[x][y] = d
     out = []
     for o in own:
-        edges = np.append(group_edges(o), len(o)).tolist()
-        out.append([(a, b, int(o[a])) for a, b in zip(edges, edges[1:])])
+        edges = [0, *(i for i in range(1, len(o)) if o[i] != o[i - 1]), len(o)]
+        out.append([(a, b, o[a]) for a, b in zip(edges, edges[1:])])
     return out
 
 
@@ -110,7 +144,8 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
     others.  Rows that repeat an id do not remove each other's bytes.  Other columns
     are ignored, an empty table gives no rows, and texts are treated whole.
     """
-    texts, buckets = deal(docs, id_col, text_col)
+    rows, cells, buckets = dealt(docs, id_col, text_col)
+    texts = by_key(rows, "cell", cells // CELLS_EACH)
     marked = window - gram + 1  # a window's length with its minimizer as one symbol
 
     def keys_of(table: pa.Table, told: pa.Table):
@@ -240,20 +275,21 @@ def dedup_suffixes(docs: DataFrame, window: int = 50, gram: int = 24, hot_docs:
         return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     # of equal texts only the one with the smallest id need be looked into
-    digest = texts.select("cell", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").drop("last")
-    later = digest.join(first, "digest").where("doc_id != first").groupBy("cell").agg(F.collect_set(F.struct("doc_id", "digest")).alias("copies"))
+    digest = rows.select("cell", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    of_cell = digest.groupBy("digest", "cell").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))  # a hot text has one row a cell
+    first = of_cell.groupBy("digest").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first != last").drop("last")
+    later = of_cell.join(first, "digest").where("high != first").groupBy("cell").agg(F.collect_list(F.struct("first", "digest")).alias("copies"))
     copies = later.groupBy("cell").applyInArrow(as_binary, "cell int, copies binary, digests binary")
     by_cell = texts.groupBy("cell")
     known = shared(texts, keys_of, buckets, copies).unionByName(copies, allowMissingColumns=True)
     owned = by_cell.cogroup(known.groupBy("cell")).applyInArrow(claim, PIECES)
-    replies = known.unionByName(owned.groupBy("bucket").applyInArrow(meet, OWNERS), allowMissingColumns=True)
+    replies = known.unionByName(by_key(owned, "bucket", buckets // BUCKETS_EACH).groupBy("bucket").applyInArrow(meet, OWNERS), allowMissingColumns=True)
     return by_cell.cogroup(replies.groupBy("cell")).applyInArrow(settle, RESULT)
 
 
 def as_binary(table: pa.Table) -> pa.Table:
     copies = table["copies"].to_pylist()
-    return pa.table({"cell": table["cell"], "copies": pa.array([np.array([x["doc_id"] for x in c], np.int64).tobytes() for c in copies], pa.binary()), "digests": pa.array([b"".join(bytes.fromhex(x["digest"]) for x in c) for c in copies], pa.binary())})
+    return pa.table({"cell": table["cell"], "copies": pa.array([np.array([x["first"] for x in c], np.int64).tobytes() for c in copies], pa.binary()), "digests": pa.array([b"".join(bytes.fromhex(x["digest"]) for x in c) for c in copies], pa.binary())})
 
 
 def heard(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -266,14 +302,15 @@ def heard(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def later_copies(table: pa.Table, told: pa.Table) -> np.ndarray:
     """For each row, whether a document with a smaller id has the same text; an id may have other texts, which are no copies."""
     doc_id = ids(table["doc_id"])
+    copied = np.zeros(len(doc_id), bool)
     if not told.num_rows or not table.num_rows:
-        return np.zeros(len(doc_id), bool)
-    copies, digests = joined(told["copies"].drop_null(), np.int64), b"".join(told["digests"].drop_null().to_pylist())
-    known = {(d, digests[32 * k : 32 * k + 32]) for k, d in enumerate(copies.tolist())}
-    copied = np.isin(doc_id, copies)
-    data, offsets = buffers(table["text"])
-    for k in np.flatnonzero(copied).tolist():
-        copied[k] = (int(doc_id[k]), hashlib.sha256(data[offsets[k] : offsets[k + 1]]).digest()) in known
+        return copied
+    digests = b"".join(told["digests"].drop_null().to_pylist())
+    first = {digests[32 * k : 32 * k + 32]: d for k, d in enumerate(joined(told["copies"].drop_null(), np.int64).tolist())}
+    if first:
+        data, offsets = buffers(table["text"])
+        for k, (d, a, b) in enumerate(zip(doc_id.tolist(), offsets.tolist(), offsets[1:].tolist())):
+            copied[k] = first.get(hashlib.sha256(data[a:b]).digest(), d) != d
     return copied
 
 

@@ -4,11 +4,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tallyforge.llm.arrays import NOT_SPACE, buffers, window_hashes, window_starts, word_bounds, word_hashes
+from tallyforge.llm.arrays import NOT_SPACE, buffers, ids, window_hashes, window_starts, word_bounds, word_hashes
+from tallyforge.llm.cells import deal, shared
 from tallyforge.llm.components import components
 from tallyforge.llm.jaccard_join import jaccard_groups, tile_links
 from tallyforge.llm.queries import QUERIES
@@ -160,3 +163,25 @@ def test_queries_on_whole_tables(spark, sf_dir):
     assert got == expected_groups(docs, 1 << 62)
     got = {tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, sf_dir).collect()}
     assert got == {(i, n, g, s, hashlib.sha256(bytes(k)).hexdigest()) for i, n, g, s, k in by_rows(docs, 1 << 62, lambda t: (t or "").encode(), 50)}
+
+
+def test_relay_of_the_exchange_changes_nothing(nasty):
+    """Fingerprints that cells share are the same whether a cell writes to buckets or to routes."""
+    texts, _ = deal(nasty)
+    texts = texts.withColumn("cell", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int"))
+
+    def keys_of(table):
+        at, out = ids(table["doc_id"]), [(d, w) for d, t in zip(ids(table["doc_id"]).tolist(), table["text"].to_pylist()) for w in (t or "").split()]
+        data, offsets = buffers(pa.array([" ".join(w for _, w in out)]))
+        starts, ends, _ = word_bounds(data, offsets, NOT_SPACE)
+        return np.array([d for d, _ in out], at.dtype), word_hashes(data, starts, ends)
+
+    def told(routes):
+        return {(r.cell, int(k), int(n)) for r in shared(texts, keys_of, 37, routes=routes).collect() for k, n in zip(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r.df, np.uint32))}
+
+    assert told(4096) == told(37) == told(4) and len(told(4)) > 100
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"{i} " + "long text " * 20_000) for i in range(80)], "doc_id long, text string")
+    assert deal(docs)[0].groupBy("cell").count().count() > 2
