@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 CELL_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 #: Cells and buckets in one partition of their exchange, and the most partitions of one.
-CELLS_EACH, BUCKETS_EACH, MOST_PARTITIONS = 3, 2, 1 << 16
+CELLS_EACH, BUCKETS_EACH, MOST_PARTITIONS = 1, 1, 1 << 16
 #: The most rows that a cell writes, and how many cells' rows a relay joins.
 ROUTES, RELAY_CELLS = 1 << 12, 1 << 10
 LOW = np.uint64(0xFFFFFFFF)
