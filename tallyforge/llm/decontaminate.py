@@ -1,28 +1,36 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton of all test items (words as symbols) is built once and sent to the
-tasks.  Each document's words are streamed through it; the longest matching
-length at each word tells which windows of an item end there.  Runs of words that
-can't reach a window's length (their word pairs occur in no item) are passed over,
-which leaves the automaton at its root.
+The test items (words as symbols) are dealt by hash into parts of bounded size.  A task
+builds each part's automaton, which is kept as plain arrays and sent to the workers.
+Each document's words are streamed through all of them, one at a time in memory; the
+longest matching length at each word tells which windows of an item end there, and
+the parts' hits are joined.  Runs of words that can't reach a window's length (their
+word pairs occur in no item) are passed over, which leaves the automaton at its root.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import ALNUM, LOWER, buffers, runs, word_bounds, word_hashes
+from .arrays import ALNUM, LOWER, NO_ID, buffers, runs, word_bounds, word_hashes
+from .cells import settle
 
-#: The largest benchmark that is sent to every task, in bytes of text; a larger one is refused, not cut.
-MOST_ITEM_BYTES = 64 << 20
+#: Bytes of items' text in a part; an automaton of so many has some 10 MB, and some 100 MB while it is built.
+PART_BYTES = 1 << 19
+#: Bytes of documents that go through all parts together.
+BLOCK_BYTES = 1 << 20
 
 
 class SuffixAutomaton:
@@ -61,14 +69,17 @@ class SuffixAutomaton:
 
 @dataclass
 class Items:
-    """An automaton with the items of each window state."""
+    """An automaton as arrays, with the windows that its states stand for."""
 
-    length: list[int]
-    link: list[int]
-    moves: list[dict[int, int]]
-    owners: dict[int, tuple[tuple[int, int], ...]]  # state -> (window's length, item)
+    length: array
+    link: array
+    moves: array  # state * number of words + word, sorted
+    to: array  # the state of each move
+    owner: array  # the nearest state by links, itself included, that ends a window; 0 for none
+    own_state: array  # sorted, with the next two
+    own_size: array
+    own_item: array
     vocabulary: np.ndarray
-    symbols: np.ndarray
     pairs: np.ndarray
     least: int
 
@@ -106,28 +117,41 @@ def build(item_ids: list[int], texts: list[str | None], window: int) -> Items |
                 found.setdefault(s, set()).add((size, item))
     pairs = [np.array(s[:-1], np.int64) * len(vocabulary) + np.array(s[1:], np.int64) for s in numbers if len(s) > 1]
     least = min(min(window, len(s)) for s in numbers if s)
-    return Items(sam.length, sam.link, sam.moves, {k: tuple(sorted(v)) for k, v in found.items()}, vocabulary, np.arange(len(vocabulary)), np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64), least)
+    moves = sorted((state * len(vocabulary) + x, to) for state, out in enumerate(sam.moves) for x, to in out.items())
+    owner = array("i", bytes(4 * len(sam.length)))
+    for s in sorted(range(1, len(sam.length)), key=sam.length.__getitem__):  # a link is shorter
+        owner[s] = s if s in found else owner[sam.link[s]]
+    own = sorted((s, size, item) for s, some in found.items() for size, item in some)
+    column = lambda kind, k, rows: array(kind, [r[k] for r in rows])
+    return Items(array("i", sam.length), array("i", sam.link), column("q", 0, moves), column("i", 1, moves), owner, *(column(t, k, own) for k, t in enumerate("iiq")), vocabulary, np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64), least)
 
 
 def stream(items: Items, seq: list[int]) -> Iterator[tuple[int, int, int]]:
     """(word, window's length, item) wherever an item's window ends."""
-    length, link, moves, owners = items.length, items.link, items.moves, items.owners
-    at = n = 0
+    length, link, moves, to, owner, own = items.length, items.link, items.moves, items.to, items.owner, items.own_state
+    words, last, at, n = len(items.vocabulary), len(items.moves), 0, 0
     for i, x in enumerate(seq):
-        while at and x not in moves[at]:
+        while x >= 0:
+            move = at * words + x
+            j = bisect_left(moves, move)
+            if j < last and moves[j] == move:
+                at, n = to[j], n + 1
+                break
+            if not at:
+                n = 0
+                break
             at = link[at]
             n = length[at]
-        to = moves[at].get(x)
-        if to is None:
+        else:  # a word that no item has
             at = n = 0
-            continue
-        at, n = to, n + 1
-        s = at
+        s = owner[at]
         while s > 0:
-            for size, item in owners.get(s, ()):
-                if size <= n:
-                    yield i, size, item
-            s = link[s]
+            k = bisect_left(own, s)
+            while k < len(own) and own[k] == s:
+                if items.own_size[k] <= n:
+                    yield i, items.own_size[k], items.own_item[k]
+                k += 1
+            s = owner[link[s]]
 
 
 def hot_runs(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -153,7 +177,21 @@ def hot_runs(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return symbol, list(zip(begin[ok].tolist(), end[ok].tolist()))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 1.0, carry: bool = False, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def automata(items: DataFrame, window: int, part_bytes: int) -> list[Broadcast]:
+    """The automata of parts of the items, each built by a task and sent to all workers."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // part_bytes) or 1
+
+    def made(table: pa.Table) -> pa.Table:
+        built = build([NO_ID if x is None else x for x in table["item"].to_pylist()], table["text"].to_pylist(), window)
+        return pa.table({"part": table["part"].slice(0, 1), "automaton": pa.array([pickle.dumps(tuple(vars(built).values())) if built else None], pa.binary())})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    done = settle(dealt.groupBy("part").applyInArrow(made, "part int, automaton binary"))
+    return [items.sparkSession.sparkContext.broadcast(bytes(r.automaton)) for r in done.where("automaton is not null").toLocalIterator()]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 1.0, carry: bool = False, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, kept_text and dropped.
 
     Words are lower-cased runs of ASCII digits, letters and all other characters
@@ -166,42 +204,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     item id counts as no item in n_items, though its windows hit.  Other columns are
     ignored, or with carry kept in a struct named row; an empty table gives no rows.
 
-    The items are a stated set that is checked against all rows: their automaton goes to
-    every task, so their size is checked first (MOST_ITEM_BYTES).
+    The items are a stated set that is checked against all rows; they may be any number.
+    One longer than part_bytes is a part of its own.
     """
     whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole)
-    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > MOST_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes of text; pass it in parts of at most {MOST_ITEM_BYTES}")
-    part = items.collect()
-    made = build([-1 if r.item is None else r.item for r in part], [r.text for r in part], window)
-    cast = docs.sparkSession.sparkContext.broadcast(made)
+    casts = automata(benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null"), window, part_bytes)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = cast.value
+        held: dict[int, Items] = {}  # the only part, if there is one only
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n_words", "n_hit", "n_items", "items_sha256", "kept_text")}
             texts = batch["text"]
-            for i, j, raw, offsets in runs(*buffers(texts)):
+            for i, j, raw, offsets in runs(*buffers(texts), BLOCK_BYTES):
                 data = LOWER[raw]
                 starts, ends, first = word_bounds(data, offsets, ALNUM)
                 words = word_hashes(data, starts, ends)
                 owners: dict[int, set[int]] = {}
                 change = np.zeros(len(words) + 1, np.int32)
-                symbol, hot = hot_runs(automaton, words, first) if automaton else (words, [])
-                for begin, end in hot:
-                    for at, size, item in stream(automaton, symbol[begin:end].tolist()):
-                        change[begin + at + 1] -= 1
-                        change[begin + at + 1 - size] += 1
-                        owners.setdefault(int(np.searchsorted(first, begin, "right")) - 1, set()).add(item)
+                for part in casts:
+                    automaton = held.get(0) or Items(*pickle.loads(part.value))
+                    if len(casts) == 1:
+                        held[0] = automaton
+                    symbol, hot = hot_runs(automaton, words, first)
+                    for begin, end in hot:
+                        for at, size, item in stream(automaton, symbol[begin:end].tolist()):
+                            change[begin + at + 1] -= 1
+                            change[begin + at + 1 - size] += 1
+                            owners.setdefault(int(np.searchsorted(first, begin, "right")) - 1, set()).add(item)
+                    if len(casts) > 1:
+                        vars(part).pop("_value", None)  # the worker reads it again from its disk; one part is in memory at a time
                 hit = np.cumsum(change)[:-1] > 0
                 out["n_words"] += np.diff(first).tolist()
                 n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
                 out["n_hit"] += n_hit.tolist()
                 for k in range(j - i):
-                    own = sorted(str(x) for x in owners.get(k, ()) if x >= 0)
+                    own = sorted(str(x) for x in owners.get(k, ()) if x != NO_ID)
                     out["n_items"].append(len(own))
                     out["items_sha256"].append(hashlib.sha256(",".join(own).encode()).hexdigest())
                     text = texts[i + k].as_py()

@@ -322,7 +322,10 @@ def test_decontaminate(spark, nasty, rows):
     items = [(1, rows[0][1][:80]), (2, rows[0][1][10:90] + " tail words"), (3, "one"), (4, None), (5, " ,, "), (6, "same same SAME"), (7, "É ü Ñ é"), (None, "ONE-two")]
     got = decontaminate(nasty, spark.createDataFrame(items, "item_id int, text string"), 5)
     want = sorted(contaminated([r[:2] for r in rows], items, 5), key=key)
-    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=key) == want
+    digest = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted((tuple(r) for r in got.select(*digest).collect()), key=key) == want
+    parts = decontaminate(nasty, spark.createDataFrame(items, "item_id int, text string"), 5, part_bytes=40)  # a part for an item or two
+    assert sorted((tuple(r) for r in parts.select(*digest).collect()), key=key) == want
     for r in got.collect():
         assert (r.kept_text is None) or not r.contaminated or len(fold(r.kept_text)) == r.n_words - r.n_hit
         assert r.dropped is (r.n_hit > r.n_words)
