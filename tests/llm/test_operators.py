@@ -5,8 +5,10 @@ import hashlib
 import hmac
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -395,11 +397,68 @@ def test_html_table(spark):
     assert sorted(((r.page_id, r.url, r.n_chars) for r in got), key=key) == sorted([(1, "u", got[0].n_chars), (2, None, 0), (None, "v", 0), (1, "u", got[0].n_chars)], key=key)
 
 
-def test_pages_hold_their_documents(spark, sf_dir):
-    squeeze = lambda t: "\n".join(x for x in (" ".join(line.split()) for line in (t or "").split("\n")) if x)
-    docs = {squeeze(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()}
+class Article(HTMLParser):
+    """Lines of a page's article, by the library's own parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.lines = 0, [""]
+        self.feed(page or "")
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag == "br":
+            self.lines[-1] += " "
+        elif tag != "b":
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag != "b":
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.lines[-1] += data
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(line.split()) for line in self.lines) if x)
+
+
+def test_pages_are_extracted_exactly(spark, sf_dir):
+    """Whole texts, first lines too, of all pages."""
+    want = {r.page_id: Article(r.html).text() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = QUERIES["op9_html_extract"](spark, sf_dir).collect()
-    assert sum(r.text.partition("\n")[2] in docs for r in got) >= 0.98 * len(got)
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+SENTENCE = "Some words of the article that are long enough to count."
+
+
+def test_html_hints_are_evidence_only():
+    assert hx.main_text(f'<div class="layout no-sidebar"><h1>T</h1><p>{SENTENCE}</p></div>') == f"T\n{SENTENCE}"
+    assert hx.main_text(f'<div id="content" class="content with-header"><p>{SENTENCE}</p></div>') == SENTENCE
+    assert hx.main_text(f'<div class="page sidebar"><h1>Title</h1><p>{SENTENCE}</p><p>More of it.</p></div><div class="sidebar">No.<p>Other words of the side.</p></div>') == f"Title\n{SENTENCE}\nMore of it."
+    assert hx.main_text("<article><p>al<script>x</script>pha be<button>Go</button>ta <math><mi>x</mi></math> y.</p></article>") == "alpha beta x y."
+    assert hx.main_text(f"<article><p>{SENTENCE}</p><article class='comment'><p>{SENTENCE}</p></article></article>") == SENTENCE
+
+
+def test_the_cut_flips_a_block_against_its_score():
+    page = f"<div><p>{SENTENCE}</p><p>ab</p><p>{SENTENCE}</p></div>"
+    blocks, scores, keep = hx.labels(page)
+    assert [b.text for b in blocks][1] == "ab" and scores[1] < 0 and keep == [True] * 3
+    page = "<div><a href=/1>one</a><p><a href=/2>two</a></p><p>Well said here.</p><p><a href=/3>three</a></p></div>"
+    blocks, scores, keep = hx.labels(page)
+    assert scores[2] > 0 and not any(keep)
+
+
+def test_long_pages_take_linear_time():
+    many = "".join(f"<div><p>{SENTENCE}</p><a href=x>l{i}</a></div>" for i in range(25_000))
+    for page in (many, '<a href="x>' * 20_000, "<div><p>x</a></i>" * 20_000, "<" * 50_000, "<p a='" * 20_000):
+        began = time.process_time()
+        hx.main_text(page)
+        assert time.process_time() - began < 6
 
 
 def test_classifier(spark, nasty, rows, empty):
