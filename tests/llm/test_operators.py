@@ -139,6 +139,81 @@ def test_quality_rules(nasty, rows):
         assert r.kept in ((False,) if r.base_failed else (True, False))
 
 
+def brute_verdicts(rows, weight=2, core=0.75, steps=12):
+    """kept and d2 of each row that passes the base rules, group by group with numpy, from the query's own five counts and the texts' lines."""
+    floor = np.array([0.05] * 4)
+    unit, bins = 4096, 64
+    half_up = lambda v: np.floor(np.abs(v) + 0.5) * np.sign(v)
+    x = np.array([[np.log1p(c / w), np.sqrt(s / max(c, 1)), np.sqrt(d / max(n, 1)), np.sqrt(r / w)] for w, c, s, d, r, n in (v[2:] for v in rows)])
+    x = half_up(x * unit) / unit
+    lang, group = np.array([r[0] for r in rows]), np.array([f"{r[0]}|{r[1]}" for r in rows])
+    of = {g: (group == g, lang == g.split("|")[0]) for g in set(group)}
+
+    def blend(f):
+        return {g: (own.sum() * f(own) + weight * f(whole)) / (own.sum() + weight) for g, (own, whole) in of.items()}
+
+    def quartiles(at):
+        return np.percentile(half_up(x[at] * 128), [25, 50, 75], axis=0) / 128
+
+    def moments(at):
+        return np.concatenate([x[at].mean(0)[None], x[at].T @ x[at] / at.sum()])
+
+    def factor(m):
+        cov, low = m[1:] - np.outer(m[0], m[0]), np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                rest = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, 0) + floor[i] ** 2) if i == j else rest / low[j, j]
+        return m[0], low
+
+    def distances(fit):
+        d = np.empty(len(x))
+        for g, (own, _) in of.items():
+            d[own] = (np.linalg.solve(fit[g][1], (x[own] - fit[g][0]).T) ** 2).sum(0)
+        return d
+
+    def reached(b, share):
+        return blend(lambda at: next(v for v in np.unique(b[at]) if (b[at] <= v).sum() >= at.sum() * share))
+
+    found = {}
+    for start in ("mean", "median"):
+        fit = {g: factor(m) for g, m in blend(moments).items()} if start == "mean" else {g: (q[1], np.diag(np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + floor**2))) for g, q in blend(quartiles).items()}
+        for step in range(steps):
+            b = np.floor(np.log(distances(fit) + 1e-12) * bins)
+            cut = reached(b, core)
+            inside = np.array([v <= cut[g] + 1e-6 for v, g in zip(b, group)])
+            fresh = {}
+            for g, (own, whole) in of.items():
+                n = (own & inside).sum()
+                m = moments(own & inside) if n else np.zeros((5, 4))
+                fresh[g] = factor((n * m + weight * moments(whole & inside)) / (n + weight))
+            size = lambda f: np.log(np.diag(f[1])).sum()
+            falls = {g: not step or size(fit[g]) - size(fresh[g]) > 1e-3 for g in of}
+            fit = {g: fresh[g] if falls[g] else fit[g] for g in of}
+            if not any(falls.values()):
+                break
+        for g in of:
+            if g not in found or (size(fit[g]), start) < found[g][0]:
+                found[g] = (size(fit[g]), start), fit[g]
+    d = distances({g: f for g, (_, f) in found.items()})
+    mid = reached(np.floor(np.log(d + 1e-12) * bins), 0.5)
+    return d * np.array([min(1.0, 3.356694 / np.exp((mid[g] + 0.5) / bins)) for g in group])
+
+
+def test_quality_rules_of_a_table(spark, sf_dir):
+    """Verdicts and distances of all documents against numpy, and how few of those that pass the base rules go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    rows = [(r.doc_id, r.lang or "", r.source or "", sum(bool(WORD.search(x)) for x in (r.text or "").split("\n"))) for r in docs.collect() if not got[r.doc_id].base_failed]
+    want = brute_verdicts([(lang, source, *(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), n) for i, lang, source, n in rows])
+    assert len(rows) > 50
+    for (i, *_), d in zip(rows, want):
+        assert abs(got[i].d2 - d) <= 1e-6 * (1 + d) and got[i].kept == (got[i].d2 <= 18.466827)
+    assert sum(not got[i].kept for i, *_ in rows) <= 0.15 * len(rows)
+    joined = {r.doc_id: r.kept for r in quality_rules(docs, broadcast_groups=0).collect()}
+    assert joined == {i: r.kept for i, r in got.items()}
+
+
 def test_quality_rules_reject_outliers_only(spark):
     rng = random.Random(1)
     prose = lambda n: " ".join("".join(rng.choice("aeionrst") for _ in range(rng.randrange(2, 8))) for _ in range(n))
