@@ -168,12 +168,30 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, x array<double>")
 
 
-def train(stats: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows trusted positives (quality 1 and never 0) and as many rows taken as unlabelled, the first by a hash of their id."""
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    rows = stats.where(may_learn & F.col("doc_id").isNotNull())
-    take = lambda df, salt: np.array([r.x for r in df.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(sample_rows).select("x").collect()])
-    positive, unlabelled = take(rows.join(known, "doc_id"), 1), take(rows, 2)
+def first_by_hash(ids: DataFrame, most: int, salt: int) -> DataFrame:
+    """At most so many of the ids (column doc_id), the first by a hash; only about so many leave their partitions."""
+    h = F.xxhash64("doc_id", F.lit(salt))
+    share = 1.2 * most / max(ids.count(), 1) + 1e-4
+    some = ids if share >= 1 else ids.where(h < int((2 * share - 1) * 2**63))
+    return some.orderBy(h, "doc_id").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most sample_rows trusted positives (quality 1 and never 0) and as many rows taken as unlabelled, the first by a hash of their id.
+
+    The ids are chosen first, so only the chosen texts are looked at; an id with several
+    rows teaches by one of them.
+    """
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").where(may_learn)
+    ids = rows.select("doc_id").distinct()
+    trusted = settle(ids.join(known, "doc_id"))
+    chosen = settle(first_by_hash(trusted, sample_rows, 1).withColumn("positive", F.lit(True)).unionByName(first_by_hash(settle(ids), sample_rows, 2).withColumn("positive", F.lit(False))))
+    roles = chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"), F.min("positive").alias("both"))
+    texts = rows.join(F.broadcast(roles), "doc_id").groupBy("doc_id", "positive", "both").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most two samples of ids are broadcast
+    stats = statistics(texts).join(F.broadcast(roles), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    take = lambda want: np.array([r.x for r in stats if want(r)])
+    positive, unlabelled = take(lambda r: r.positive), take(lambda r: not r.both)
     width = max(x.shape[1] if x.ndim == 2 else 1 for x in (positive, unlabelled))
     return fit(positive.reshape(-1, width), unlabelled.reshape(-1, width))
 
@@ -186,15 +204,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     that repeat an id are scored each; a null id is never learnt from.  Other columns
     are ignored; an empty table gives no rows; without usable labels every score is 1.
     """
-    stats = settle(statistics(docs, id_col, text_col))
-    model = train(stats, labels, ~held_out if held_out is not None else F.lit(True))
+    model = train(docs, labels, ~held_out if held_out is not None else F.lit(True), id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))
-            yield pa.record_batch({"doc_id": batch["doc_id"], "score": pa.array(model.score(x) if len(x) else [], pa.float64())})
+            rows = [model.score(features(data, offsets)) for _, _, data, offsets in runs(*buffers(batch["text"]))]
+            yield pa.record_batch({"doc_id": batch["doc_id"], "score": pa.array(np.concatenate(rows) if rows else [], pa.float64())})
 
-    return stats.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def fold_zero(id_col: str = "doc_id") -> Column:
@@ -204,7 +222,7 @@ def fold_zero(id_col: str = "doc_id") -> Column:
 
 def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text scores threshold or more; otherwise as score_quality."""
-    model = train(settle(statistics(docs, id_col, text_col)), labels, ~held_out if held_out is not None else F.lit(True))
+    model = train(docs, labels, ~held_out if held_out is not None else F.lit(True), id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from tallyforge.llm.decontaminate import build, decontaminate, stream
 from tallyforge.llm.arrays import buffers
 from tallyforge.llm.packing import Packer, WordTokens, pack, tokenizer_of
 from tallyforge.llm.pii import as_date, feistel, luhn, permute_digits, pseudonymise
-from tallyforge.llm.quality_classifier import fit, fold_zero, keep_quality, score_quality
+from tallyforge.llm.quality_classifier import first_by_hash, fit, fold_zero, keep_quality, score_quality
 from tallyforge.llm.quality_rules import base_stats, quality_rules
 from tallyforge.llm.queries import QUERIES
 from tallyforge.llm.sharding import byte_shards
@@ -552,6 +552,23 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.9 * len(good) * len(bad)
 
 
+def test_held_out_labels_teach_nothing(spark, sf_dir):
+    """held_out, predicted and the scores of all documents; turning the held-out labels round moves no score."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in QUERIES["op3_quality_classifier"](spark, sf_dir).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for i, r in got.items())
+    turned = labels.withColumn("quality", F.when(fold_zero(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r.doc_id: r.score for r in score_quality(docs, turned, fold_zero()).collect()} == {i: r.score for i, r in got.items()}
+    assert {r.doc_id: r.score for r in score_quality(docs.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")), labels, fold_zero()).collect()} == {i: r.score for i, r in got.items()}
+
+
+def test_sample_is_bounded_and_stable(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    some = {r.doc_id for r in first_by_hash(ids, 100, 1).collect()}
+    assert len(some) == 100 and some == {r.doc_id for r in first_by_hash(ids.repartition(7), 100, 1).collect()}
+    assert first_by_hash(ids, 9000, 1).count() == 5000
+
+
 def test_prior_is_estimated():
     rng = np.random.default_rng(0)
     positive, mixed = rng.normal(2, 1, (3000, 3)), np.vstack([rng.normal(2, 1, (1800, 3)), rng.normal(-2, 1, (1200, 3))])
