@@ -44,12 +44,22 @@ def promises_by_week(rows: DataFrame) -> DataFrame:
     return promises(rows, monday(F.col("date")).alias("week")).where("promised > 0")
 
 
-def earned_value(rows: DataFrame, works: DataFrame, today: str) -> DataFrame:
-    """One row: planned value to date, cost (actual man-days), earned value, and their ratios (null on division by 0)."""
-    effort = rows.groupBy("work_id").agg(F.sum("planned").alias("effort"), F.sum(F.when(F.col("date") <= F.lit(today).cast("date"), F.col("planned"))).alias("due"), F.sum(F.when(F.col("date") <= F.lit(today).cast("date"), F.col("actual"))).alias("spent"))
-    joined = works.join(effort, "work_id")
-    sums = joined.agg(F.sum("due").alias("planned_value"), F.sum("spent").alias("actual_cost"), F.sum(F.col("effort") * F.coalesce("pct", F.lit(0))).alias("earned_100"))
-    return sums.select("planned_value", "actual_cost", (F.col("earned_100") / 100.0).alias("earned_value"), F.round(F.try_divide(F.col("earned_100") / 100.0, F.col("planned_value")), 6).alias("spi"), F.round(F.try_divide(F.col("earned_100") / 100.0, F.col("actual_cost")), 6).alias("cpi"))
+def earned_value(rows: DataFrame, latest_rows: DataFrame, weighted: DataFrame) -> DataFrame:
+    """One row: planned value and cost up to the last day with an actual, earned value, their ratios, and promises of the 14 days up to that day.
+
+    rows are all versions, latest_rows the one that holds for each date and work, weighted
+    the works with their weights.  Ratios are rounded half to even, null on division by 0.
+    """
+    last = rows.where("actual is not null").agg(F.max("date").alias("last_date"))
+    done = weighted.agg(F.sum("weight").alias("total_weight"), F.bround(F.try_divide(F.sum(F.col("weight") * F.coalesce(F.col("pct"), F.lit(0))).cast("double"), F.sum("weight")), 1).alias("progress"), F.count_if(F.col("pct").isNull()).alias("unknown"))
+    held = latest_rows.join(F.broadcast(last), F.col("date") <= F.col("last_date"))  # one row
+    recent, kept = F.col("date") >= F.date_sub("last_date", 13), (F.col("planned") > 0) & (F.col("actual") >= F.col("planned"))
+    sums = held.groupBy("last_date").agg(F.coalesce(F.sum("planned"), F.lit(0)).alias("planned_value"), F.coalesce(F.sum("actual"), F.lit(0)).alias("actual_cost"), F.count_if(recent & (F.col("planned") > 0)).alias("promised"), F.count_if(recent & kept).alias("met"))
+    both = sums.withColumn("one", F.lit(1)).join(F.broadcast(done.withColumn("one", F.lit(1))), "one")
+    earned = F.coalesce(F.col("progress"), F.lit(0.0)) / 100 * F.col("total_weight")
+    ratio = lambda b: F.bround(F.when(F.col(b) != 0, earned / F.col(b)), 2)
+    ppc = F.bround(F.when(F.col("promised") > 0, F.col("met") * 100.0 / F.col("promised")), 1)
+    return both.select("last_date", "progress", "total_weight", "unknown", "planned_value", "actual_cost", F.bround(earned, 1).alias("earned_value"), ratio("planned_value").alias("spi"), ratio("actual_cost").alias("cpi"), "promised", "met", ppc.alias("ppc"))
 
 
 def deficit(required: Column, actual: Column) -> dict[str, Column]:
@@ -57,17 +67,24 @@ def deficit(required: Column, actual: Column) -> dict[str, Column]:
     return {"deficit": F.when(actual < required, required - actual), "surplus": F.when(actual > required, actual - required), "coverage": F.round(F.try_divide(F.lit(100.0) * actual, required), 6)}
 
 
-def losses(rows: DataFrame, blockers: DataFrame, today: str | None = None) -> DataFrame:
-    """By kind of blocker: each day's deficit counts once for every blocker open that day; lost, days, blocker days and overlaps.
+def losses(rows: DataFrame, blockers: DataFrame, today: str, days: int = 30) -> DataFrame:
+    """By kind of blocker raised within the period: the project's deficit of its day, once for every blocker raised on it; and how many there were.
 
-    Days and blockers meet by day, so this is an equi-join however long a blocker lasts.
-    A blocker that is not resolved is open until today; without today it counts no day.
+    A day's deficit is its planned less its actual crew over all works, not below 0; a
+    day without records has none.
     """
-    lack = rows.groupBy("work_id", "date").agg(F.sum("planned").alias("planned"), F.sum("actual").alias("actual")).where("actual < planned").select("work_id", "date", (F.col("planned") - F.col("actual")).alias("lost"))
-    end = F.coalesce(F.col("resolved"), F.lit(today).cast("date"))
-    open_days = blockers.withColumn("end", end).where("end >= raised").select("work_id", "kind", F.explode(F.sequence("raised", "end")).alias("date"))
-    hit = lack.join(open_days, ["work_id", "date"])
-    return hit.groupBy("kind").agg(F.sum("lost").alias("lost"), F.count("*").alias("blocker_days"), F.count_distinct("work_id", "date").alias("days")).withColumn("overlap_days", F.col("blocker_days") - F.col("days"))
+    last = F.lit(today).cast("date")
+    within = lambda c: F.col(c).between(F.date_sub(last, days), last)
+    lack = rows.where(within("date")).groupBy("date").agg(F.greatest(F.coalesce(F.sum("planned"), F.lit(0)) - F.coalesce(F.sum("actual"), F.lit(0)), F.lit(0)).alias("lost"))
+    raised = blockers.where(within("raised")).groupBy("kind", F.col("raised").alias("date")).agg(F.count("*").alias("n"))
+    return raised.join(lack, "date", "left").groupBy("kind").agg(F.sum(F.col("n") * F.coalesce("lost", F.lit(0))).alias("lost"), F.sum("n").alias("blockers"))
+
+
+def loss_overlap(blockers: DataFrame, today: str, days: int = 30) -> DataFrame:
+    """One row: blockers of the period, the days they were raised on, and how many more blockers than days there are."""
+    last = F.lit(today).cast("date")
+    one = blockers.where(F.col("raised").between(F.date_sub(last, days), last)).agg(F.count("*").alias("blockers"), F.count_distinct("raised").alias("days"))
+    return one.withColumn("overlap_days", F.col("blockers") - F.col("days"))
 
 
 def resolution_time(blockers: DataFrame, today: str) -> DataFrame:

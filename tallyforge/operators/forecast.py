@@ -14,19 +14,29 @@ def day(text: str) -> Column:
     return F.lit(text).cast("date")
 
 
-def overdue(schedule: DataFrame, today: str) -> DataFrame:
+def not_done(status: Column) -> Column:
+    """Whether a work is still to do; one without a status is."""
+    return ~F.coalesce(status.isin(*DONE), F.lit(False))
+
+
+def resolved_terms(terms: DataFrame) -> DataFrame:
+    """terms with the start and finish that hold: the current ones, else those of a baseline with high or medium confidence; works without such a finish are left out."""
+    fine = F.coalesce(F.col("confidence").isin("high", "medium"), F.lit(False))
+    pick = lambda c: F.coalesce(f"current_{c}", F.when(fine, F.col(f"plan_{c}")))
+    return terms.withColumns({"start": pick("start"), "finish": pick("finish")}).where("finish is not null")
+
+
+def overdue(schedule: DataFrame, today: str, finish: str = "plan_finish") -> DataFrame:
     """Works past their planned finish that are not done, with their lag in days."""
-    return schedule.where((F.col("plan_finish") < day(today)) & ~F.col("status").isin(*DONE)).withColumn("lag_days", F.datediff(day(today), F.col("plan_finish")))
+    return schedule.where((F.col(finish) < day(today)) & not_done(F.col("status"))).withColumn("lag_days", F.datediff(day(today), F.col(finish)))
 
 
-def baseline_lag(schedule: DataFrame, today: str) -> DataFrame:
-    """One row: the last finish of active works put off by the mean lag of those with a trusted baseline."""
-    active = schedule.where(~F.col("status").isin(*DONE))
-    trusted = F.col("confidence").isin("high", "medium") & F.col("baseline_finish").isNotNull()
-    lag = F.datediff("plan_finish", "baseline_finish")
-    one = active.agg(F.max("plan_finish").alias("last_finish"), F.sum(F.when(trusted, lag)).alias("lag"), F.count(F.when(trusted, lag)).alias("with_baseline"))
-    mean = F.round(F.try_divide(F.col("lag").cast("double"), F.col("with_baseline")))
-    return one.select("last_finish", "with_baseline", mean.cast("int").alias("mean_lag"), F.date_add("last_finish", mean.cast("int")).alias("forecast"))
+def baseline_lag(resolved: DataFrame, today: str) -> DataFrame:
+    """One row: the last finish of works not done, put off by the mean lag (half to even) of those overdue; no lag without any, null without works."""
+    late = F.datediff(day(today), F.col("finish"))
+    one = resolved.where(not_done(F.col("status"))).agg(F.max("finish").alias("last_finish"), F.sum(F.when(late > 0, late)).alias("lag"), F.count(F.when(late > 0, 1)).alias("late_works"))
+    mean = F.coalesce(F.bround(F.try_divide(F.col("lag").cast("double"), F.col("late_works"))), F.lit(0)).cast("int")
+    return one.select("last_finish", "late_works", mean.alias("mean_lag"), F.date_add("last_finish", mean).alias("forecast"))
 
 
 def position(start: Column, end: Column, today: Column) -> Column:
@@ -66,23 +76,28 @@ def first_of_week(rows: DataFrame, method: str = "user_id") -> DataFrame:
     return keyed.groupBy("iso_year", "iso_week", method).agg(F.min_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("s")).select("iso_year", "iso_week", method, "s.event_id", "s.value")
 
 
-def lookahead(schedule: DataFrame, blockers: DataFrame, today: str, days: int = 14) -> DataFrame:
-    """Works that should start within the window and have not, with what stands in the way."""
-    start = schedule.where((F.col("status") == "not_started") & F.col("start_date").between(day(today), F.date_add(day(today), days)))
-    open_ = blockers.where("resolved is null").groupBy("blocker_id").agg(F.count("*").alias("open"))
-    out = start.join(open_, start.work_id == open_.blocker_id, "left")
-    obstacles = F.array_compact(F.array(F.when(F.col("open") > 0, "blocker"), F.when(F.col("plan_finish").isNull(), "no finish date"), F.when(F.col("baseline_finish").isNull(), "no baseline")))
-    return out.select("work_id", "start_date", F.array_join(obstacles, ", ").alias("obstacles"))
-
-
-def critical(schedule: DataFrame, blockers: DataFrame, effort: DataFrame, today: str, directive: str) -> DataFrame:
-    """Works that are overdue, finish after the directive date or are blocked, and how many more people they need."""
-    open_ = blockers.where("resolved is null").select("blocker_id").distinct().withColumn("blocked", F.lit(True))
-    rows = schedule.where(~F.col("status").isin(*DONE)).join(open_, F.col("work_id") == F.col("blocker_id"), "left").join(effort, "work_id", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("plan_finish") < day(today), "overdue"), F.when(F.col("plan_finish") > day(directive), "after directive"), F.when(F.col("blocked"), "blocked")))
-    need = people_for_date(F.col("effort"), day(today), day(directive))
-    out = rows.withColumn("reasons", F.array_join(reasons, ", ")).where("reasons != ''")
-    return out.select("work_id", "reasons", F.greatest(need - F.coalesce("last_actual", F.lit(0)), F.lit(0)).cast("long").alias("extra_people"))
+def lookahead(terms: DataFrame, today: str, days: int = 14) -> DataFrame:
+    """Works not started that should start within the window (by current dates, else a trusted baseline), with what stands in the way: a subcontractor that is missing."""
+    fine = F.col("current_start").isNotNull() | F.coalesce(F.col("confidence").isin("high", "medium"), F.lit(False))
+    start = terms.withColumn("start", F.coalesce("current_start", "plan_start")).where(fine & (F.col("status") == "not_started") & F.col("start").between(day(today), F.date_add(day(today), days)))
+    missing = (F.col("executor_type") == "subcontract") & F.col("subcontractor_id").isNull()
+    return start.select("work_id", "start", F.when(missing, "no subcontractor").otherwise("").alias("obstacles"))
+
+
+def critical(resolved: DataFrame, blockers: DataFrame, effort: DataFrame, last_actual: DataFrame, today: str, directive: str) -> DataFrame:
+    """Works not done that are overdue, finish after the directive date or are blocked, with the people they lack.
+
+    People are those that do the effort not done yet by the earlier of finish and
+    directive date, less those last there (0 if unknown), not below 0; null without effort
+    or working days.
+    """
+    open_ = blockers.where("resolved is null").groupBy("work_id").agg(F.count("*").alias("open"))
+    rows = resolved.where(not_done(F.col("status"))).join(open_, "work_id", "left").join(effort.select("work_id", "effort"), "work_id", "left").join(last_actual.select("work_id", "actual"), "work_id", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("finish") < day(today), "overdue"), F.when(F.col("finish") > day(directive), "after directive"), F.when(F.col("open") > 0, F.concat(F.lit("blocked "), F.col("open").cast("string")))))
+    left = F.col("effort") * (100 - F.coalesce(F.col("pct"), F.lit(0))) / 100.0
+    need = people_for_date(left, day(today), F.least(F.col("finish"), day(directive)))
+    extra = F.when(need.isNotNull(), F.greatest(need - F.coalesce("actual", F.lit(0)), F.lit(0)))
+    return rows.withColumn("reasons", F.array_join(reasons, ", ")).where("reasons != ''").select("work_id", "reasons", extra.cast("long").alias("extra_people"))
 
 
 def latest_actual(rows: DataFrame) -> DataFrame:

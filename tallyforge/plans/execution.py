@@ -81,12 +81,20 @@ def weighted_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evm.weighted_progress(weighted(spark, sf_dir)).withColumn("progress", F.round("progress", 6))
 
 
-@query(f"""with {r.CREWS}, {r.WORKS}, e as (select work_id, sum(planned) as effort, sum(planned) filter (where date <= date '{TO}') as due, sum(actual) filter (where date <= date '{TO}') as spent from crews group by 1),
- s as (select cast(sum(due) as bigint) as pv, cast(sum(spent) as bigint) as ac, cast(sum(effort * coalesce(pct, 0)) as double) / 100 as ev from works join e using (work_id))
- select pv as planned_value, ac as actual_cost, ev as earned_value, round(ev / nullif(pv, 0), 6) as spi, round(ev / nullif(ac, 0), 6) as cpi from s""")
+EVM_WEIGHTED = f"""{r.WORKS}, e as (select work_id, sum(planned) as effort from progress where source = 'excel' and planned is not null group by 1),
+ weighted as (select works.*, case when effort is not null and effort > 0 then effort when p_size > 0 then p_size else 1 end as weight from works left join e using (work_id) join part on p_partkey = work_id)"""
+
+
+@query(f"""with {MERGED}, {EVM_WEIGHTED}, l as (select max(date) as last_date from progress where actual is not null),
+ d as (select sum(weight) as total_weight, round_even(cast(sum(weight * coalesce(pct, 0)) as double) / cast(sum(weight) as double), 1) as progress, count(*) filter (where pct is null) as unknown from weighted),
+ s as (select last_date, coalesce(sum(planned), 0) as pv, coalesce(sum(actual), 0) as ac, count(*) filter (where date >= last_date - 13 and planned > 0) as promised, count(*) filter (where date >= last_date - 13 and planned > 0 and actual >= planned) as met from merged, l where date <= last_date group by 1)
+ select last_date, progress, cast(total_weight as bigint) as total_weight, unknown, cast(pv as bigint) as planned_value, cast(ac as bigint) as actual_cost, round_even(progress / 100 * cast(total_weight as double), 1) as earned_value,
+ round_even(progress / 100 * cast(total_weight as double) / nullif(cast(pv as double), 0), 2) as spi, round_even(progress / 100 * cast(total_weight as double) / nullif(cast(ac as double), 0), 2) as cpi, promised, met, round_even(met * 100.0::double / nullif(promised, 0), 1) as ppc from s, d""")
 def evm_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evm.earned_value(r.crews(spark, sf_dir), r.works(spark, sf_dir), TO)
-    return out.withColumns({c: F.col(c).cast("double") for c in ("earned_value", "spi", "cpi")})
+    rows = r.progress(spark, sf_dir)
+    effort = rows.where("source = 'excel' and planned is not null").groupBy("work_id").agg(F.sum("planned").alias("effort"))
+    crew = r.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), F.col("p_size").alias("crew"))
+    return evm.earned_value(rows, merged(spark, sf_dir), evm.weights(r.works(spark, sf_dir), crew.join(effort, "work_id", "left")))
 
 
 PPC = "count(*) filter (where planned > 0) as promised, count(*) filter (where planned > 0 and actual >= planned) as met, round(100.0 * count(*) filter (where planned > 0 and actual >= planned) / nullif(count(*) filter (where planned > 0), 0), 6)::double as ppc"
@@ -110,21 +118,31 @@ def resource_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumns(evm.deficit(F.col("required"), F.col("present")))
 
 
-@query(f"with {r.CREWS} select source, cast(sum(planned) as bigint) as planned, cast(sum(actual) as bigint) as actual, count(actual) as with_actual from crews group by 1")
+@query(f"with {r.CREWS}, {r.WORKS} select works.source, cast(sum(planned) as bigint) as planned, cast(sum(actual) as bigint) as actual, count(actual) as with_actual from crews join works using (work_id) where crews.source = 'excel' group by 1")
 def plan_fact_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evm.daily_totals(r.crews(spark, sf_dir), "source")
+    rows = r.crews(spark, sf_dir).where("source = 'excel'").drop("source").join(r.works(spark, sf_dir).select("work_id", "source"), "work_id")
+    return evm.daily_totals(rows, "source")
+
+
+DONE = "coalesce(status in ('done_physically','submitted','accepted','closed','cancelled'), false)"
+FINE = "coalesce(confidence in ('high','medium'), false)"
+RESOLVED = f"""{r.TERMS}, resolved as (select *, coalesce(current_finish, case when {FINE} then plan_finish end) as finish from terms where coalesce(current_finish, case when {FINE} then plan_finish end) is not null)"""
+
 
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.resolved_terms(r.terms(spark, sf_dir))
 
-@query(f"with {r.SCHEDULE} select work_id, plan_finish, date_diff('day', plan_finish, date '{TO}') as lag_days from schedule where plan_finish < date '{TO}' and status not in ('done_physically','submitted','accepted','closed','cancelled')")
+
+@query(f"with {RESOLVED} select work_id, finish, date_diff('day', finish, date '{TO}') as lag_days from resolved where finish < date '{TO}' and not {DONE}")
 def overdue_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.overdue(r.schedule(spark, sf_dir), TO).select("work_id", "plan_finish", F.col("lag_days").cast("long").alias("lag_days"))
+    return forecast.overdue(resolved(spark, sf_dir), TO, "finish").select("work_id", "finish", F.col("lag_days").cast("long").alias("lag_days"))
 
 
-@query(f"""with {r.SCHEDULE}, a as (select max(plan_finish) as last_finish, sum(date_diff('day', baseline_finish, plan_finish)) filter (where confidence in ('high','medium') and baseline_finish is not null) as lag,
- count(date_diff('day', baseline_finish, plan_finish)) filter (where confidence in ('high','medium') and baseline_finish is not null) as with_baseline from schedule where status <> 'done_physically')
- select last_finish, with_baseline, cast(round(cast(lag as double) / with_baseline) as int) as mean_lag, last_finish + cast(round(cast(lag as double) / with_baseline) as int) as forecast from a""")
+@query(f"""with {RESOLVED}, a as (select max(finish) as last_finish, count(*) filter (where finish < date '{TO}') as late_works,
+ cast(coalesce(round_even(avg(date_diff('day', finish, date '{TO}')) filter (where finish < date '{TO}'), 0), 0) as int) as mean_lag from resolved where not {DONE})
+ select last_finish, late_works, mean_lag, last_finish + mean_lag as forecast from a""")
 def baseline_lag_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.baseline_lag(r.schedule(spark, sf_dir), TO)
+    return forecast.baseline_lag(resolved(spark, sf_dir), TO)
 
 
 @query(f"with {r.SCHEDULE} select work_id, case when date_diff('day', start_date, plan_finish) > 0 then round(cast(date_diff('day', start_date, date '{TO}') * 100.0 as double) / date_diff('day', start_date, plan_finish), 1) end as position from schedule")
@@ -148,11 +166,15 @@ def people_for_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.schedule(spark, sf_dir).select("work_id", forecast.people_for_date(F.col("amount").cast("double") / 1000, F.col("start_date"), F.col("plan_finish")).alias("people"))
 
 
-@query(f"""with {MERGED}, {DAILY}, l as (select * from daily where actual is not null order by date desc limit 14), p as (select round(cast(sum(actual) as double) / count(*), 2) as pace from l),
- n as (select pace, 12345.0::double as remaining, cast(ceil(12345.0::double / pace) as int) as days_needed from p), c as (select cast(x as date) as x, row_number() over (order by x) as k from range(date '{TE}' + 1, date '{TE}' + 4000, interval 1 day) d(x) where isodow(x) < 6)
+REMAINING = f"""{r.WORKS}, x as (select work_id, sum(planned) as effort from progress where source = 'excel' group by 1),
+ todo as (select cast(sum(effort * (100 - coalesce(pct, 0))) as double) / 100 as remaining, count(effort) as known, count(*) - count(effort) as unknown from works left join x using (work_id) where pct is null or pct < 100)"""
+
+
+@query(f"""with {MERGED}, {DAILY}, {REMAINING}, l as (select * from daily where actual is not null order by date desc limit 14), p as (select round(cast(sum(actual) as double) / count(*), 2) as pace from l),
+ n as (select pace, remaining, cast(ceil(remaining / pace) as int) as days_needed from p, todo), c as (select cast(x as date) as x, row_number() over (order by x) as k from range(date '{TE}' + 1, date '{TE}' + 4000, interval 1 day) d(x) where isodow(x) < 6)
  select pace, remaining, days_needed, (select x from c where k = days_needed) as forecast from n""")
 def pace_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = spark.range(1).select(F.lit(12345.0).alias("remaining"))
+    left = evm.remaining_effort(r.progress(spark, sf_dir), r.works(spark, sf_dir)).select(F.col("remaining").cast("double").alias("remaining"))
     return forecast.pace_forecast(evm.daily_totals(merged(spark, sf_dir)), left, TE)
 
 
@@ -161,20 +183,52 @@ def week_snapshot_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.first_of_week(r.read(spark, sf_dir, "events"))
 
 
-@query(f"""with {r.SCHEDULE}, {r.BLOCKERS}, o as (select blocker_id, count(*) as open from blockers where resolved is null group by 1)
- select work_id, start_date, concat_ws(', ', case when open > 0 then 'blocker' end, case when plan_finish is null then 'no finish date' end, case when baseline_finish is null then 'no baseline' end) as obstacles
- from schedule left join o on work_id = blocker_id where status = 'not_started' and start_date between date '{TO}' and date '{TO}' + 14""")
+@query(f"""with {r.TERMS} select work_id, coalesce(current_start, plan_start) as start, case when executor_type = 'subcontract' and subcontractor_id is null then 'no subcontractor' else '' end as obstacles from terms
+ where (current_start is not null or {FINE}) and status = 'not_started' and coalesce(current_start, plan_start) between date '{TO}' and date '{TO}' + 14""")
 def lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast.lookahead(r.schedule(spark, sf_dir), r.blockers(spark, sf_dir), TO)
+    return forecast.lookahead(r.terms(spark, sf_dir), TO)
 
 
-@query(f"""with {r.SCHEDULE}, {r.BLOCKERS}, {r.CREWS}, e as (select order_id as work_id, sum(planned) * 10 as effort, max(actual) as last_actual from crews group by 1),
- s as (select s.*, b.blocker_id, e.effort, e.last_actual, (select count(*) from range(date '{TO}' + 1, date '{DIRECTIVE}' + 1, interval 1 day) d(x) where isodow(x) < 6) as days from schedule s left join (select distinct blocker_id from blockers where resolved is null) b on s.work_id = b.blocker_id left join e on e.work_id = s.work_id where status <> 'done_physically')
- select work_id, concat_ws(', ', case when plan_finish < date '{TO}' then 'overdue' end, case when plan_finish > date '{DIRECTIVE}' then 'after directive' end, case when blocker_id is not null then 'blocked' end) as reasons,
- cast(greatest(ceil(cast(effort as double) / days) - coalesce(last_actual, 0), 0) as bigint) as extra_people from s where plan_finish < date '{TO}' or plan_finish > date '{DIRECTIVE}' or blocker_id is not null""")
+@query(f"""with {RESOLVED}, {r.BLOCKERS}, {r.CREWS}, o as (select work_id, count(*) as open from blockers where resolved is null group by 1), e as (select order_id as work_id, sum(planned) filter (where source = 'excel') as effort from crews group by 1),
+ la as (select order_id as work_id, actual from crews where actual is not null qualify row_number() over (partition by order_id order by date desc, line_no desc) = 1),
+ s as (select s.*, open, effort, actual, (select count(*) from range(date '{TO}' + 1, least(finish, date '{DIRECTIVE}') + 1, interval 1 day) d(x) where isodow(x) < 6) as days from resolved s left join o using (work_id) left join e using (work_id) left join la using (work_id) where not {DONE})
+ select work_id, concat_ws(', ', case when finish < date '{TO}' then 'overdue' end, case when finish > date '{DIRECTIVE}' then 'after directive' end, case when open > 0 then 'blocked ' || open end) as reasons,
+ case when days > 0 and effort is not null then cast(greatest(ceil(cast(effort * (100 - coalesce(pct, 0)) as double) / 100 / days) - coalesce(actual, 0), 0) as bigint) end as extra_people from s where finish < date '{TO}' or finish > date '{DIRECTIVE}' or open > 0""")
 def critical_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    effort = r.crews(spark, sf_dir).groupBy(F.col("order_id").alias("work_id")).agg((F.sum("planned") * 10).alias("effort"), F.max("actual").alias("last_actual"))
-    return forecast.critical(r.schedule(spark, sf_dir), r.blockers(spark, sf_dir), effort, TO, DIRECTIVE)
+    crews = r.crews(spark, sf_dir).withColumn("work_id", F.col("order_id"))
+    effort = crews.groupBy("work_id").agg(F.sum(F.when(F.col("source") == "excel", F.col("planned"))).alias("effort"))
+    last = versioned.latest(crews.where("actual is not null"), ["work_id"], ["date", "line_no"])
+    return forecast.critical(resolved(spark, sf_dir), r.blockers(spark, sf_dir), effort, last, TO, DIRECTIVE)
+
+
+def facts(rows: DataFrame, **values) -> DataFrame:
+    """Rows (metric, value as text) of a table with one row."""
+    pairs = [F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in values.items()]
+    return rows.select(F.explode(F.array(*pairs)).alias("f")).select("f.*")
+
+
+@query(f"""with {MERGED}, {DAILY}, {REMAINING}, {RESOLVED}, late as (select max(finish) as last_finish, count(*) as active, count(*) filter (where finish < date '{TO}') as late_works, cast(coalesce(round_even(avg(date_diff('day', finish, date '{TO}')) filter (where finish < date '{TO}'), 0), 0) as int) as mean_lag from resolved where not {DONE}),
+ lastday as (select planned, actual from daily where date = (select max(date) from progress where actual is not null)), l as (select * from daily where actual is not null order by date desc limit 14), p as (select round(cast(sum(actual) as double) / count(*), 2) as pace from l)
+ select 'overdue_count' as metric, late_works::varchar as value from late union all select 'baseline_date', last_finish::varchar from late union all select 'avg_lag', mean_lag::varchar from late union all select 'baseline_lag_forecast', (last_finish + mean_lag)::varchar from late
+ union all select 'works_with_baseline', count(*)::varchar from resolved union all select 'known_works', known::varchar from todo union all select 'excluded_works', unknown::varchar from todo
+ union all select 'required_crew', planned::varchar from lastday union all select 'actual_crew', actual::varchar from lastday union all select 'deficit', (case when actual < planned then planned - actual end)::varchar from lastday
+ union all select 'days_needed', cast(ceil(remaining / pace) as int)::varchar from p, todo""")
+def criticality_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overdue works, the baseline's lag, remaining effort at the recent pace, and the crew of the last day with an actual."""
+    c, terms = F.col, resolved(spark, sf_dir)
+    lag = forecast.baseline_lag(terms, TO)
+    left = evm.remaining_effort(r.progress(spark, sf_dir), r.works(spark, sf_dir)).withColumn("remaining", c("remaining").cast("double"))
+    totals = evm.daily_totals(merged(spark, sf_dir))
+    last = totals.where("actual is not null").orderBy(F.desc("date")).limit(1)
+    pace = forecast.pace_forecast(totals, left, TE)
+    parts = [
+        facts(lag, overdue_count=c("late_works"), baseline_date=c("last_finish"), avg_lag=c("mean_lag"), baseline_lag_forecast=c("forecast")), facts(terms.agg(F.count("*").alias("n")), works_with_baseline=c("n")), facts(left, known_works=c("known"), excluded_works=c("unknown")),
+        facts(last.withColumns(evm.deficit(c("planned"), c("actual"))), required_crew=c("planned"), actual_crew=c("actual"), deficit=c("deficit")), facts(pace, days_needed=c("days_needed")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(f"""with {r.CREWS}, {r.WORKS} select coalesce(location, 'none') as place, cast(sum(planned) as bigint) as planned, cast(sum(actual) as bigint) as actual, count(distinct work_id) as works from crews join works using (work_id) where date = date '{TO}' group by 1""")
@@ -195,11 +249,15 @@ def report_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.blockers(spark, sf_dir).groupBy("kind").agg(F.count_if(F.col("raised") == today).alias("arisen"), F.count_if(F.coalesce(F.col("resolved") == today, F.lit(False))).alias("closed"))
 
 
-@query(f"""with {r.CREWS}, {r.BLOCKERS}, l as (select work_id, date, sum(planned) - sum(actual) as lost from crews group by 1, 2 having sum(actual) < sum(planned)),
- h as (select kind, l.work_id, l.date, lost from l join blockers b on b.work_id = l.work_id and l.date between raised and resolved)
- select kind, cast(sum(lost) as bigint) as lost, count(*) as blocker_days, count(distinct (work_id, date)) as days, count(*) - count(distinct (work_id, date)) as overlap_days from h group by 1""")
+@query(f"""with {r.CREWS}, {r.BLOCKERS}, l as (select date, greatest(coalesce(sum(planned), 0) - coalesce(sum(actual), 0), 0) as lost from crews where date between date '{TO}' - 365 and date '{TO}' group by 1)
+ select kind, cast(sum(coalesce(lost, 0)) as bigint) as lost, count(*) as blockers from blockers left join l on date = raised where raised between date '{TO}' - 365 and date '{TO}' group by 1""")
 def loss_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evm.losses(r.crews(spark, sf_dir), r.blockers(spark, sf_dir))
+    return evm.losses(r.crews(spark, sf_dir), r.blockers(spark, sf_dir), TO, 365)
+
+
+@query(f"""with {r.BLOCKERS} select count(*) as blockers, count(distinct raised) as days, count(*) - count(distinct raised) as overlap_days from blockers where raised between date '{TO}' - 365 and date '{TO}'""")
+def loss_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evm.loss_overlap(r.blockers(spark, sf_dir), TO, 365)
 
 
 @query(f"""with {r.BLOCKERS} select kind, round(cast(sum(date_diff('day', raised, resolved)) as double) / count(resolved), 6) as mean_days, count(resolved) as resolved, count(*) - count(resolved) as open, cast(max(case when resolved is null then date_diff('day', raised, date '{TO}') end) as int) as oldest_open from blockers group by 1""")

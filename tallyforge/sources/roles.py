@@ -84,6 +84,24 @@ SCHEDULE = """schedule as (select o_orderkey as work_id, o_custkey as customer_i
  cast(o_totalprice as decimal(18,2)) as amount, ['high','medium','low'][o_orderkey % 3 + 1] as confidence from orders)"""
 
 
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with baseline dates of some confidence, current dates of a few, who does them and a percentage."""
+    k, start = F.col("o_orderkey"), F.to_date("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "F", "done_physically").when(F.col("o_orderstatus") == "P", "in_progress").when(k % 13 != 0, "not_started")
+    return read(spark, sf_dir, "orders").select(
+        k.alias("work_id"), status.alias("status"), start.alias("plan_start"), F.when(k % 7 != 0, F.date_add(start, (k % 60).cast("int"))).alias("plan_finish"),
+        F.when(k % 5 == 0, F.date_add(start, 3)).alias("current_start"), F.when(k % 5 == 0, F.date_add(start, (k % 90 + 5).cast("int"))).alias("current_finish"), F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (k % 3 + 1).cast("int")).alias("confidence"),
+        F.when(k % 2 == 0, "subcontract").otherwise("own").alias("executor_type"), F.when(k % 4 != 0, F.col("o_custkey")).alias("subcontractor_id"), F.when(k % 9 != 0, (k % 101).cast("int")).alias("pct"),
+    )
+
+
+TERMS = """terms as (select o_orderkey as work_id, case when o_orderstatus = 'F' then 'done_physically' when o_orderstatus = 'P' then 'in_progress' when o_orderkey % 13 <> 0 then 'not_started' end as status,
+ cast(o_orderdate as date) as plan_start, case when o_orderkey % 7 <> 0 then cast(o_orderdate as date) + cast(o_orderkey % 60 as int) end as plan_finish,
+ case when o_orderkey % 5 = 0 then cast(o_orderdate as date) + 3 end as current_start, case when o_orderkey % 5 = 0 then cast(o_orderdate as date) + cast(o_orderkey % 90 + 5 as int) end as current_finish,
+ ['high','medium','low'][o_orderkey % 3 + 1] as confidence, case when o_orderkey % 2 = 0 then 'subcontract' else 'own' end as executor_type, case when o_orderkey % 4 <> 0 then o_custkey end as subcontractor_id,
+ case when o_orderkey % 9 <> 0 then cast(o_orderkey % 101 as int) end as pct from orders)"""
+
+
 def blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stops works, from when to when (open ones have no end)."""
     k, start = F.col("o_orderkey"), F.to_date("o_orderdate")

@@ -134,11 +134,55 @@ def test_streaming_latest(spark, tmp_path):
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()} == {(1, 2.0), (2, 3.0)}
 
 
-def test_losses_of_open_blockers(spark):
-    rows = spark.createDataFrame([(1, dt.date(2024, 1, k), 5, 3) for k in range(1, 7)], "work_id int, date date, planned int, actual int")
-    blockers = spark.createDataFrame([(1, "a", dt.date(2024, 1, 3), None), (1, "b", dt.date(2024, 1, 1), dt.date(2024, 1, 2)), (1, "c", dt.date(2024, 1, 6), None)], "work_id int, kind string, raised date, resolved date")
-    got = {x.kind: (x.lost, x.blocker_days, x.overlap_days) for x in evm.losses(rows, blockers, "2024-01-05").collect()}
-    assert got == {"a": (6, 3, 0), "b": (4, 2, 0)}
+def test_losses_count_a_days_deficit_once_for_every_blocker(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    rows = spark.createDataFrame([(1, day(1), 5, 3), (2, day(1), 5, 4), (1, day(2), 5, 9), (1, day(3), 5, None)], "work_id int, date date, planned int, actual int")
+    blockers = spark.createDataFrame([(1, "a", day(1), None), (2, "a", day(1), day(2)), (3, "b", day(1), None), (1, "b", day(2), None), (1, "c", day(4), None), (1, "d", dt.date(2023, 1, 1), None)], "work_id int, kind string, raised date, resolved date")
+    assert {x.kind: (x.lost, x.blockers) for x in evm.losses(rows, blockers, "2024-01-05").collect()} == {"a": (6, 2), "b": (3, 2), "c": (0, 1)}
+    assert tuple(evm.loss_overlap(blockers, "2024-01-05").first()) == (5, 3, 2)
+
+
+TERMS = "work_id string, current_start date, plan_start date, current_finish date, plan_finish date, status string, confidence string, pct int, executor_type string, subcontractor_id int"
+
+
+def test_known_vectors_of_forecasts(spark):
+    """The reference inputs of FIXTURES.md, part A."""
+    date = dt.date.fromisoformat
+    rows = [("A", None, None, None, date("2026-07-31"), "in_progress", "high"), ("B", None, None, None, date("2026-08-31"), "not_started", "medium"), ("C", None, None, None, date("2026-07-01"), "done_physically", "high"), ("D", None, None, None, None, "not_started", "high"), ("E", None, None, None, date("2026-07-01"), None, "low")]
+    terms = forecast.resolved_terms(spark.createDataFrame([(*r, None, None, None) for r in rows], TERMS))
+    assert [(r.work_id, r.lag_days) for r in forecast.overdue(terms, "2026-08-15", "finish").collect()] == [("A", 15)]
+    assert tuple(forecast.baseline_lag(terms, "2026-08-15").first()) == (date("2026-08-31"), 1, 15, date("2026-09-15"))
+    assert tuple(forecast.baseline_lag(terms.where("work_id = 'B'"), "2026-08-15").first()) == (date("2026-08-31"), 0, 0, date("2026-08-31"))
+    assert tuple(forecast.baseline_lag(terms.where("false"), "2026-08-15").first()) == (None, 0, 0, None)
+    late = terms.where("work_id = 'A'").withColumn("status", F.lit(None).cast("string"))
+    assert forecast.overdue(late, "2026-08-15", "finish").count() == 1  # a work without a status is not done
+    mon, fri = F.lit("2026-08-17").cast("date"), F.lit("2026-08-21").cast("date")
+    one = spark.range(1).select(
+        forecast.position(F.lit("2026-07-01").cast("date"), F.lit("2026-11-28").cast("date"), F.lit("2026-08-27").cast("date")), forecast.position(mon, mon, mon), forecast.people_for_date(F.lit(100), mon, fri), forecast.people_for_date(F.lit(100), mon, mon),
+        forecast.date_for_people(F.lit(40), F.lit(10), mon), forecast.date_for_people(F.lit(40), F.lit(0), mon), *evm.deficit(F.lit(30), F.lit(12)).values(), *evm.deficit(F.lit(0), F.lit(5)).values(),
+    ).first()
+    assert [float(x) if not isinstance(x, (dt.date, type(None))) else x for x in one] == [38.0, None, 25.0, None, date("2026-08-21"), None, 18.0, None, 40.0, None, 5.0, None]
+
+
+def test_known_vectors_of_earned_value(spark):
+    works = spark.createDataFrame([(1, 100), (2, 50), (3, None)], "work_id int, pct int")
+    weighted = evm.weights(works, spark.createDataFrame([(1, 30, 5), (2, None, 10)], "work_id int, effort int, crew int"))
+    assert {(r.work_id, r.weight, r.weight_source) for r in weighted.collect()} == {(1, 30, "effort"), (2, 10, "crew"), (3, 1, "one")}
+    day = lambda k: dt.date(2024, 1, k)
+    rows = spark.createDataFrame([(day(30), 5, 5), (day(30), 3, 1), (day(30), 0, 2), (day(30), 4, 4), (day(2), 20, 10), (day(31), 50, None)], "date date, planned int, actual int")
+    got = evm.earned_value(rows, rows, weighted).first()
+    assert (got.progress, got.total_weight, got.unknown, got.promised, got.met, got.ppc) == (85.4, 41, 1, 3, 2, 66.7)
+    assert (got.last_date, got.planned_value, got.actual_cost, got.earned_value) == (day(30), 32, 22, 35.0)
+
+
+def test_critical_works(spark):
+    date = dt.date.fromisoformat
+    rows = [("late", date("2026-08-01"), "in_progress", 50), ("after", date("2027-01-10"), "not_started", None), ("blocked", date("2026-08-28"), "in_progress", 0), ("fine", date("2026-08-28"), "in_progress", 0), ("done", date("2026-08-01"), "accepted", 100)]
+    terms = forecast.resolved_terms(spark.createDataFrame([(w, None, None, None, f, s, "high", p, None, None) for w, f, s, p in rows], TERMS))
+    blockers = spark.createDataFrame([("blocked", None), ("blocked", None), ("fine", date("2026-08-02"))], "work_id string, resolved date")
+    effort, last = spark.createDataFrame([("late", 40), ("after", 1000), ("blocked", 100)], "work_id string, effort int"), spark.createDataFrame([("blocked", 3)], "work_id string, actual int")
+    got = {r.work_id: (r.reasons, r.extra_people) for r in forecast.critical(terms, blockers, effort, last, "2026-08-17", "2026-12-31").collect()}
+    assert got["late"] == ("overdue", None) and got["blocked"] == ("blocked 2", 9) and got["after"][0] == "after directive" and got["after"][1] == -(-1000 // 98) and set(got) == {"late", "after", "blocked"}
 
 
 def test_remarks_with_a_common_prefix(spark):
