@@ -31,13 +31,20 @@ def least_merge(rows: DataFrame, keys: Sequence[str], date: str, label: str) ->
 
 def replace_partition(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of the new rows' keys are replaced."""
-    return old.join(new.select(key).distinct(), key, "left_semi").limit(0).unionByName(old.join(new.select(key).distinct(), key, "left_anti")).unionByName(new)
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def renumber(rows: DataFrame, order: Sequence[str], prefix: str, by: Sequence[str] = ()) -> DataFrame:
-    """Gapless codes by an order, within groups or (a small register) over all."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("code", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0")))
+def renumber(rows: DataFrame, order: Sequence[str], prefix: str, width: int = 9) -> DataFrame:
+    """Gapless codes by an order over all rows.
+
+    Rows are parted by ranges of the order and settled; each part's count is all that meets
+    in one place, and a row's number is its place in its part after the parts before.
+    """
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    totals = parts.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(F.broadcast(totals), "_part").withColumn("code", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).drop("_part", "_before")
 
 
 def claim_once(pairs: DataFrame, group: str, member: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as m
 from ..operators import merge as mg
+from ..session import shared_folder
 from ..sources import roles as r
 from .registry import query
 
@@ -91,10 +92,10 @@ def catalogue_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names of parts of one type against those of the others that end in the same word."""
-    names = r.read(spark, sf_dir, "part").groupBy("p_name", (F.col("p_type") == "ECONOMY").alias("left")).agg(F.min("p_partkey").alias("id")).withColumn("w", F.substring_index("p_name", " ", -1))
-    side = lambda left, key, name: names.where(F.col("left") == left).select("w", F.col("id").alias(key), F.col("p_name").alias(name))
-    return side(True, "record", "a").join(side(False, "candidate", "b"), "w")
+    """Benchmark items and the documents that may be alike."""
+    records = r.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record"), F.col("text").alias("a"))
+    pool = r.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate"), F.col("text").alias("b"))
+    return m.candidates_by_rare_words(records, pool, 0.55)
 
 
 @query()
@@ -104,13 +105,15 @@ def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("record", "candidate", m.token_set_ratio("a", "b").alias("score"))
+    return pairs(spark, sf_dir).select("record", "candidate", m.token_set_ratio(F.col("a"), F.col("b")).alias("score"))
 
 
 @query()
-def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = pairs(spark, sf_dir).select("w", "record", "candidate", m.sequence_similarity("a", "b").alias("score")).where("score >= 0.55")
-    return m.greedy_assignment(scored, "w")
+def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each benchmark item is among the documents: confident, ambiguous or new."""
+    shared_folder(spark)
+    scored = pairs(spark, sf_dir).select("record", "candidate", m.sequence_similarity("a", "b").alias("score")).where("score >= 0.55")
+    return m.assign(scored, r.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record")))
 
 
 ORD = "select o_orderkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as amount from orders"
@@ -143,9 +146,10 @@ def least_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.least_merge(r.read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_shipdate", "l_orderkey")
 
 
-@query("select o_orderkey, concat('F-', lpad(cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as varchar), 5, '0')) as code from orders")
+@query("select o_orderkey, concat('F-', lpad(cast(row_number() over (order by o_orderdate, o_orderkey) as varchar), 9, '0')) as code from orders")
 def renumber_gapless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mg.renumber(r.read(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], "F-", ["o_custkey"]).select("o_orderkey", "code")
+    shared_folder(spark)
+    return mg.renumber(r.read(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], "F-").select("o_orderkey", "code")
 
 
 @query("with p as (select distinct l_suppkey as grp, l_partkey as member from lineitem), f as (select member, min(grp) as owner from p group by 1) select member, grp, case when grp = owner then 'claimed' else 'conflict' end as claim from p join f using (member)")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import difflib
+import random
 
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import calendar as cal
 from tallyforge.functions import expressions as ex
 from tallyforge.operators import evm, forecast, matching, merge, reports, versioned
+from tallyforge.session import shared_folder
 from tallyforge.sources import readers
 from tallyforge.streaming import latest as streaming
 
@@ -84,10 +86,51 @@ def test_similarity_is_difflib(spark):
     assert got[0].s == difflib.SequenceMatcher(None, a, b).ratio() and got[1].s == 0.0
 
 
-def test_greedy_is_one_to_one(spark):
-    pairs = spark.createDataFrame([("b", 1, 10, 0.99), ("b", 2, 10, 0.98), ("b", 2, 11, 0.85), ("b", 3, 12, 0.82), ("b", 3, 13, 0.80)], "block string, record int, candidate int, score double")
-    got = {(r.record, r.candidate) for r in matching.greedy_assignment(pairs, "block").collect()}
-    assert got == {(1, 10), (2, 11)}  # record 3 is not clear of its next candidate
+def judged(pairs, decided=()):
+    """The assignment by its rule, one pair after another."""
+    claimed_r, claimed_c, out = {r for r, _ in decided}, {c for _, c in decided if c is not None}, {r: ("new" if c is None else "confirmed", c) for r, c in decided}
+    for score, r, c in sorted(((s, r, c) for r, c, s in pairs), key=lambda x: (-x[0], x[1], x[2])):
+        if r in claimed_r or c in claimed_c:
+            continue
+        rest = [s for q, d, s in pairs if q == r and d != c and d not in claimed_c]
+        if score >= 0.97 or (score >= 0.80 and (not rest or score - max(rest) >= 0.08)):
+            claimed_r.add(r)
+            claimed_c.add(c)
+            out[r] = ("confident", c)
+    for r in {r for r, _, _ in pairs} - claimed_r:
+        left = [c for q, c, _ in pairs if q == r and c not in claimed_c]
+        out[r] = ("ambiguous" if left else "new", None)
+    return out
+
+
+def test_assignment_in_rounds(spark):
+    shared_folder(spark)
+    rng = random.Random(4)
+    pairs = [(r, c, rng.choice([0.6, 0.75, 0.82, 0.85, 0.9, 0.93, 0.98, 1.0])) for r in range(12) for c in range(12) if rng.random() < 0.4]
+    decided = [(3, 5), (4, None)]
+    for fixed in ([], decided):
+        want = judged(pairs, fixed)
+        df = spark.createDataFrame(pairs, "record int, candidate int, score double")
+        records = spark.createDataFrame([(r,) for r in range(14)], "record int")
+        got = {r.record: (r.verdict, r.candidate) for r in matching.assign(df, records, decided=spark.createDataFrame(fixed, "record int, candidate int") if fixed else None).collect()}
+        assert got == {r: want.get(r, ("new", None)) for r in range(14)}
+
+
+def test_token_set_ratio(spark):
+    def brute(a, b):
+        s, t = set((a or "").split()), set((b or "").split())
+        x = [" ".join(sorted(v)) for v in (s & t, s, t)]
+        return max(difflib.SequenceMatcher(None, x[i], x[j]).ratio() for i, j in ((0, 1), (0, 2), (1, 2)))
+
+    rows = [("fix the wall", "the wall fix"), ("fix the wall", "the wall"), ("", None), ("a b", "c d"), ("Crack in wall 3", "crack in wall 3"), ("x x y", "y x")]
+    got = spark.createDataFrame(rows, "a string, b string").select(matching.token_set_ratio(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r.s for r in got] == pytest.approx([brute(a, b) for a, b in rows]) and got[0].s == 1.0 and got[2].s == 1.0
+
+
+def test_codes_are_gapless_over_all_rows(spark):
+    shared_folder(spark)
+    got = merge.renumber(spark.range(5000).withColumn("k", F.col("id") % 7).repartition(6), ["k", "id"], "F-").collect()
+    assert [r.code for r in sorted(got, key=lambda r: (r.k, r.id))] == [f"F-{n:09d}" for n in range(1, 5001)]
 
 
 def test_merges(spark):
