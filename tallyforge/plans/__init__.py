@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documentation, execution, ingest, matching, quality, reports
+from . import documentation, execution, ingest, matching, quality, reports, rules
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "documentation", "execution", "ingest", "matching", "quality", "reports"]
+__all__ = ["ORACLE_SQL", "QUERIES", "documentation", "execution", "ingest", "matching", "quality", "reports", "rules"]
