@@ -36,10 +36,14 @@ def folder_stage(sent: Column, checked: Column, signed: Column, paid: Column) ->
     return F.when(paid.isNotNull(), "paid").when(signed.isNotNull(), "ks2_signed").when(checked.isNotNull(), "checked").when(sent.isNotNull(), "sent").otherwise("forming")
 
 
+#: Statuses under way, beside those that say that a signature is under way.
+UNDER_WAY = ("signed in pencil", "in progress", "returned", "agreed to sign")
+
+
 def status_tier(status: Column) -> Column:
-    """0 none, 1 under way, 2 signed.  A pencil signature shares the prefix but is none."""
+    """0 none or unknown, 1 under way, 2 signed.  A pencil signature shares the prefix but is none."""
     s = F.lower(F.trim(status))
-    return F.when(s.startswith("signed in pencil"), 1).when(s.startswith("signed"), 2).when(s.isNull() | (s == ""), 0).otherwise(1)
+    return F.when(s.isin(*UNDER_WAY) | s.contains("for signature"), 1).when(s.startswith("signed"), 2).otherwise(0)
 
 
 def group_status(members: Column, signed: Column, usual: Column) -> Column:

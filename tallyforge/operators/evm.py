@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import monday
+from .versioned import latest
 
 
 def daily_totals(rows: DataFrame, *keys: str) -> DataFrame:
@@ -99,3 +100,15 @@ def remaining_effort(rows: DataFrame, works: DataFrame) -> DataFrame:
     todo = works.where("pct is null or pct < 100").join(effort, "work_id", "left")
     left = F.col("effort") * (100 - F.coalesce(F.col("pct"), F.lit(0)))
     return todo.agg((F.sum(left) / 100.0).alias("remaining"), F.count("effort").alias("known"), F.count_if(F.col("effort").isNull()).alias("unknown"))
+
+
+def shift_sheet(rows: DataFrame, works: DataFrame, day: str) -> DataFrame:
+    """A day's works, their newest plan of the sheet and what was entered for them; works with a plan, or where nothing is planned, all that are not done."""
+    of_day = rows.where(F.col("date") == F.lit(day).cast("date"))
+    newest = lambda some: latest(some, ["work_id"], ["updated_at", "id"])
+    plan = newest(of_day.where("source = 'excel' and planned is not null")).select("work_id", "planned")
+    fact = newest(of_day.where("source = 'web'")).select("work_id", F.col("pct").alias("fact_pct"), F.col("actual").alias("fact"), F.lit(True).alias("filled"))
+    any_plan = F.broadcast(plan.agg((F.count("*") > 0).alias("_any")).withColumn("_one", F.lit(1)))  # one row
+    shown = works.select("work_id", (F.coalesce("pct", F.lit(0)) < 100).alias("_todo"), F.lit(1).alias("_one")).join(plan, "work_id", "left").join(any_plan, "_one")
+    shown = shown.where(F.when(F.col("_any"), F.col("planned").isNotNull()).otherwise(F.col("_todo")))
+    return shown.join(fact, "work_id", "left").select("work_id", "planned", "fact_pct", "fact", F.coalesce("filled", F.lit(False)).alias("filled"))

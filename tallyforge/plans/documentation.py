@@ -167,10 +167,10 @@ def violation_by_responsible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.by_responsible(stated(spark, sf_dir), r.read(spark, sf_dir, "supplier"))
 
 
-@query("select p_partkey, p_name from part where p_name ilike '%ring%' and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 40) order by p_partkey limit 100")
+@query("select p_partkey, p_name from part where p_name ilike '%widget%' and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 49 and l_linenumber = 1) order by p_partkey limit 100")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = r.read(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return fd.link_candidates(r.read(spark, sf_dir, "part"), linked, "p_partkey", "ring", "p_name").select("p_partkey", "p_name")
+    linked = r.read(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return fd.link_candidates(r.read(spark, sf_dir, "part"), linked, "p_partkey", "widget", "p_name").select("p_partkey", "p_name")
 
 
 REGISTRY = "from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'O' and o_orderpriority in ('1-URGENT', '2-HIGH')"

@@ -271,12 +271,24 @@ def gantt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evm.daily_totals(r.crews(spark, sf_dir).where(F.col("date").between(first, F.date_add(first, 29))), "work_id", "date")
 
 
-@query(f"""with {r.PROGRESS}, p as (select work_id, max(planned) as planned from progress where date = date '{TE}' and source = 'excel' group by 1), f as (select work_id, max(actual) as fact from progress where date = date '{TE}' and source = 'web' group by 1)
- select work_id, planned, fact from p left join f using (work_id) where planned is not null""")
+SHIFT = """{progress}, {works}, p as (select work_id, planned from progress where date = date '{day}' and source = 'excel' and planned is not null qualify row_number() over (partition by work_id {latest}) = 1),
+ f as (select work_id, pct as fact_pct, actual as fact from progress where date = date '{day}' and source = 'web' qualify row_number() over (partition by work_id {latest}) = 1)
+ select work_id, planned, fact_pct, fact, f.work_id is not null as filled from (select work_id from works where case when (select count(*) from p) > 0 then work_id in (select work_id from p) else coalesce(pct, 0) < 100 end) w left join p using (work_id) left join f using (work_id)"""
+
+
+def shift(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
+    return evm.shift_sheet(r.progress(spark, sf_dir), r.works(spark, sf_dir), day)
+
+
+@query("with " + SHIFT.format(progress=r.PROGRESS, works=r.WORKS, day=TE, latest=LATEST))
 def shift_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = r.progress(spark, sf_dir).where(F.col("date") == forecast.day(TE))
-    plan = day.where("source = 'excel'").groupBy("work_id").agg(F.max("planned").alias("planned")).where("planned is not null")
-    return plan.join(day.where("source = 'web'").groupBy("work_id").agg(F.max("actual").alias("fact")), "work_id", "left")
+    return shift(spark, sf_dir, TE)
+
+
+@query("with " + SHIFT.format(progress=r.PROGRESS, works=r.WORKS, day="2030-01-01", latest=LATEST))
+def shift_sheet_without_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day for which nothing is planned shows all works that are not done."""
+    return shift(spark, sf_dir, "2030-01-01")
 
 
 @query(f"""with {r.CREWS} select team_id, cast(sum(planned) as bigint) as planned, round(cast(sum(actual) as double) / count(actual), 1) as mean_actual, count(distinct date) as days from crews group by 1""")

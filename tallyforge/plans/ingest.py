@@ -10,16 +10,17 @@ from ..sources import readers as rd
 from ..sources import roles as r
 from .registry import query
 
-DAYS = ["1998-03-02", "1998-03-03", "1998-03-04"]
+DAYS = [f"{d:02d}" for d in range(1, 32)]
 
 
-@query("select l_partkey as work_id, cast(l_shipdate as date) as date, 'plan' as kind, cast(max(l_quantity) as int) as value from lineitem where cast(l_shipdate as date) between date '1998-03-02' and date '1998-03-04' group by 1, 2 union all select l_partkey, cast(l_shipdate as date), 'fact', cast(min(l_quantity) as int) from lineitem where cast(l_shipdate as date) between date '1998-03-02' and date '1998-03-04' and l_linenumber < 4 group by 1, 2")
+@query("select l_partkey as work_id, cast(l_shipdate as date) as date, 'plan' as kind, cast(max(l_quantity) as int) as value from lineitem group by 1, 2 union all select l_partkey, cast(l_shipdate as date), 'fact', cast(min(l_quantity) as int) from lineitem where l_linenumber < 4 group by 1, 2")
 def unpivot_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet with a row for each work and month and columns for its days, as rows."""
     rows = r.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("work_id"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber")
-    on = lambda d: F.col("d") == F.lit(d).cast("date")
+    on = lambda d: F.dayofmonth("d") == int(d)
     cells = [x for d in DAYS for x in (F.max(F.when(on(d), F.col("q"))).alias(f"plan_{d}"), F.min(F.when(on(d) & (F.col("l_linenumber") < 4), F.col("q"))).alias(f"fact_{d}"))]
-    wide = rows.where(F.col("d").isin([F.lit(d).cast("date") for d in DAYS])).groupBy("work_id").agg(*cells)
-    return rd.unpivot_calendar(wide, ["work_id"], DAYS, ("plan", "fact"))
+    wide = rows.groupBy("work_id", F.trunc("d", "month").alias("month")).agg(*cells)
+    return rd.unpivot_calendar(wide, ["work_id", "month"], DAYS, ("plan", "fact"), "month")
 
 
 @query("""with l as (select l_partkey as work_id, cast(l_shipdate as date) as date, case when l_returnflag = 'N' then 'plan' else 'fact' end as kind, cast(l_quantity as int) as value, l_orderkey * 10 + l_linenumber as seq, case when l_linenumber = 1 then l_linestatus end as comment from lineitem)

@@ -157,9 +157,9 @@ def claim_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mg.claim_once(r.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("member")).distinct(), "grp", "member")
 
 
-@query("select l_partkey, min(l_suppkey) as l_suppkey from lineitem group by 1 having count(distinct l_suppkey) = 1")
+@query("select l_orderkey, min(l_suppkey) as l_suppkey from lineitem group by 1 having count(distinct l_suppkey) = 1")
 def only_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mg.only_candidate(r.read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return mg.only_candidate(r.read(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
 @query("with r as (select distinct l_suppkey as s, l_partkey as k from lineitem), t as (select case s when 1 then 0 when 2 then 0 else s end as to_s, s, k from r) select to_s as s, k from t qualify row_number() over (partition by to_s, k order by case when to_s = s then 1 else 0 end desc, s) = 1")

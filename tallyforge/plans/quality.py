@@ -27,8 +27,8 @@ SQL = {
     "dq_impossible_dates": (r.FOLDERS, select("documents", "impossible_dates", "folder_id", "formed", "from (select * replace (case when folder_id % 13 = 0 then formed else checked end as checked) from folders) where coalesce(checked < sent or signed < checked or paid < signed or sent < formed, false)")),
     "dq_signed_without_cost": (r.FOLDERS, select("documents", "signed_without_cost", "folder_id", "signed", "from folders where signed is not null and coalesce(estimate, amount) is null")),
     "dq_empty_folder": (r.FOLDERS, select("documents", "empty_folder", "folder_id", "formed", "from folders where not exists (select 1 from lineitem where l_orderkey = folder_id)")),
-    "dq_resolved_in_last_act": (r.FINDINGS, select("findings", "resolved_in_last_act", "finding_id", "act_id", "from findings where act_id = (select act_id from findings order by act_date desc, act_id desc limit 1) and coalesce(resolved, false)")),
-    "dq_orphan_processing": (r.FINDINGS, select("findings", "orphan_processing", "p_partkey", "null", "from part where not exists (select 1 from findings where finding_id = p_partkey and item_no > 5)")),
+    "dq_resolved_in_last_act": (r.FINDINGS, select("findings", "resolved_in_last_act", "finding_id", "act_id", "from (select * replace (year(act_date) * 12 + month(act_date) as act_id) from findings where act_date < date '1998-06-01') where act_id = (select act_id from (select * replace (year(act_date) * 12 + month(act_date) as act_id) from findings where act_date < date '1998-06-01') order by act_date desc, act_id desc limit 1) and coalesce(resolved, false)")),
+    "dq_orphan_processing": (r.FINDINGS, select("findings", "orphan_processing", "p_partkey", "null", "from part where not exists (select 1 from findings where finding_id = p_partkey and item_no > 6 and act_id % 50 = 0)")),
 }
 
 
@@ -48,8 +48,8 @@ def rule_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "dq_impossible_dates": dq.impossible_dates(late),
         "dq_signed_without_cost": dq.signed_without_cost(folders),
         "dq_empty_folder": dq.empty_folders(folders, key(lines, "l_orderkey", "folder_id")),
-        "dq_resolved_in_last_act": dq.resolved_in_last_act(items),
-        "dq_orphan_processing": dq.orphan_processing(key(r.read(spark, sf_dir, "part"), "p_partkey", "finding_id"), items.where("item_no > 5")),
+        "dq_resolved_in_last_act": dq.resolved_in_last_act(items.where("act_date < '1998-06-01'").withColumn("act_id", F.year("act_date") * 12 + F.month("act_date"))),
+        "dq_orphan_processing": dq.orphan_processing(key(r.read(spark, sf_dir, "part"), "p_partkey", "finding_id"), items.where("item_no > 6 and act_id % 50 = 0")),
     }
 
 

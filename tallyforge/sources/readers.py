@@ -55,10 +55,15 @@ def continuation_merge(rows: DataFrame, key: str, order: str, text: str, by: lis
     return tagged.groupBy(*by, "record").agg(F.min(key).alias(key), F.array_join(F.transform(parts, lambda p: p[text]), " ").alias(text))
 
 
-def unpivot_calendar(wide: DataFrame, keys: list[str], days: list[str], kinds: tuple[str, ...]) -> DataFrame:
-    """Columns named kind_day become rows of date, kind and value; empty cells are left out."""
+def unpivot_calendar(wide: DataFrame, keys: list[str], days: list[str], kinds: tuple[str, ...], month: str | None = None) -> DataFrame:
+    """Columns named kind_day become rows of date, kind and value; empty cells are left out.
+
+    A day is a date, or with month (a key with the first day of a row's month) its number in the month.
+    """
     long = wide.unpivot(keys, [f"{k}_{d}" for d in days for k in kinds], "cell", "value").where("value is not null")
-    return long.select(*keys, F.to_date(F.regexp_extract("cell", r"_(.*)$", 1)).alias("date"), F.regexp_extract("cell", r"^(.*?)_", 1).alias("kind"), "value")
+    day = F.regexp_extract("cell", r"_(.*)$", 1)
+    date = F.to_date(day) if month is None else F.date_add(month, day.cast("int") - 1)
+    return long.select(*(k for k in keys if k != month), date.alias("date"), F.regexp_extract("cell", r"^(.*?)_", 1).alias("kind"), "value")
 
 
 def fold_plan_fact(long: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -96,7 +101,7 @@ def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
             end, name = m[1], m[2].lower()
             if at is not None:
                 span = int((re.search(r"colspan\s*=\s*\"?(\d+)", at[1], re.I) or [0, 1])[1])
-                cells += [text(at[0], m.start())] * min(span, 1000)
+                cells += [text(at[0], m.start())] * span
                 at = None
             if name in ("tr", "li") or (name in ("table", "ul", "ol") and end):
                 if cells:

@@ -54,7 +54,7 @@ def test_status(spark, pct, status):
     assert one(spark, s=ex.work_status(F.lit(pct).cast("int"))).s == status
 
 
-@pytest.mark.parametrize(("text", "tier"), [("Signed", 2), ("signed in pencil", 1), (None, 0), ("", 0), ("in progress", 1)])
+@pytest.mark.parametrize(("text", "tier"), [("Signed", 2), ("signed in pencil", 1), (None, 0), ("", 0), ("in progress", 1), ("sent for signature", 1), ("yes", 0)])
 def test_pencil_signature_is_none(spark, text, tier):
     assert one(spark, t=ex.status_tier(F.lit(text).cast("string"))).t == tier
 
