@@ -143,3 +143,12 @@ def isin_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
         return np.zeros(len(x), bool)
     at = np.minimum(np.searchsorted(table, x), len(table) - 1)
     return table[at] == x
+
+
+def group_bounds(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in arrays sorted together, and their length at the end."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.append(np.flatnonzero(new), n)

@@ -41,4 +41,25 @@ OP8 = f"""with recursive w as (select doc_id, {words(LOWER.format('text'))} as w
  reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edges e on e.a = r.b)
  select d.doc_id, coalesce(n, 0) as n_shingles, component_id from documents d left join sizes using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by 1) using (doc_id)"""
 
-ORACLE_SQL = {"op7_decontaminate": OP7, "op8_jaccard_join": OP8, "op10_substring_dedup": OP10}
+OP11 = f"""with d as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') as ws from documents),
+ q as (select item_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}')) as term from benchmark),
+ size as (select count(*) as n_docs, cast(sum(len(ws)) as bigint) as n_terms from d where len(ws) > 0),
+ tf as (select doc_id, n, term, count(*) as tf from (select doc_id, len(ws) as n, unnest(ws) as term from d) where term in (select term from q) group by 1, 2, 3),
+ weight as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, size group by term, n_docs),
+ scored as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) as score from q join tf using (term) join weight using (term), size group by 1, 2)
+ select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10"""
+
+OP13 = f"""with w as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, {words('text')} as ws from documents),
+ flags as (select doc_id, part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+  + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * (doc_id > min(doc_id) over (partition by text))::int as fails from w),
+ cells as (select part, fails, count(*) as n, count(*) filter (where quality = 1) as good, count(*) filter (where toxic = 1) as bad from flags left join labels using (doc_id) group by 1, 2),
+ letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as b),
+ orders as (select [a.b, b.b, c.b, d.b, e.b] as bits, a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e where a.b + b.b + c.b + d.b + e.b = 31 and a.b | b.b | c.b | d.b | e.b = 31),
+ steps as (select filter_order, step, bits[step] as own, cast(coalesce(list_sum(bits[1:step - 1]), 0) as int) as earlier from orders, (select unnest(range(1, 6)) as step)),
+ counted as (select part, filter_order, step, own, coalesce(sum(n) filter (where fails & (own | earlier) = 0), 0) as kept, coalesce(sum(n) filter (where fails & own <> 0 and fails & earlier = 0), 0) as removed,
+  coalesce(sum(n) filter (where fails & own <> 0 and fails & earlier <> 0), 0) as redundant, coalesce(sum(n) filter (where fails = own), 0) as unique_fails,
+  coalesce(sum(good) filter (where fails & own <> 0 and fails & earlier = 0), 0) as good_lost, coalesce(sum(bad) filter (where fails & own <> 0 and fails & earlier = 0), 0) as toxic_lost from cells, steps group by all)
+ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley from counted"""
+
+ORACLE_SQL = {"op7_decontaminate": OP7, "op8_jaccard_join": OP8, "op10_substring_dedup": OP10, "op11_lexical_search": OP11, "op13_filter_audit": OP13}

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .filter_audit import filter_audit
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_groups
+from .lexical_search import lexical_search
 from .oracles import ORACLE_SQL
 from .packing import pack
 from .pii import KINDS, pseudonymise
@@ -18,6 +20,7 @@ from .quality_rules import quality_rules
 from .sharding import byte_shards
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_suffixes
+from .toxicity import score_toxicity
 
 
 #: The pseudonyms' key in the registered queries; a real run passes its own secret.
@@ -88,6 +91,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores, learnt from votes and from labels outside the held-out fold."""
+    done = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=fold_zero())
+    return done.select("doc_id", fold_zero().alias("held_out"), "score", "predicted")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and cost in each of their orders, by language."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extract": op9_html_extract,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_toxicity": op12_toxicity,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
