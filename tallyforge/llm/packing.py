@@ -9,7 +9,6 @@ a task leaves one partly filled window at most.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -34,17 +33,24 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 PROBES = ("ab cd", " ab", "ab ", "ab  cd", "ab\ncd", "\n\nab\t cd.\r\n", "it's 1 2, 34 - a-b\n- \u00e9\u00df x", f"ab {PART} cd {PART} 12")
 
 
-@functools.lru_cache(maxsize=2)
 def tokenizer_of(path: str | None):
-    """The tokenizer of a file, read once by a worker."""
+    """The tokenizer of a file, read once by a worker.
+
+    Workers may not know this package, so what is held from task to task hangs on the
+    tokenizers' own module; functools' caches are sent by name and would not be found.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
-    from tokenizers import Tokenizer
+    import tokenizers
 
-    if path is None:
-        import public_tokenizers
+    held = vars(tokenizers).setdefault("_held_by_path", {})
+    if path not in held:
+        file = path
+        if file is None:
+            import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return Tokenizer.from_file(path)
+            file = public_tokenizers.path("word_bpe_49k.json")
+        held[path] = tokenizers.Tokenizer.from_file(file)
+    return held[path]
 
 
 def room_for(held: np.ndarray, n: int) -> np.ndarray:

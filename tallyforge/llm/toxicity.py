@@ -26,7 +26,7 @@ from .cells import settle
 from .quality_classifier import first_by_hash
 
 #: Most labelled rows of each class that bring up words, and most rows that the classifier is fitted on.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 #: Bytes of word beginnings, and most words and beginnings that are kept.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 MOST_STEMS = 4096
