@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: Month names of the sources, in the form of a heading and of a date.
 MONTHS = {"январь": 1, "февраль": 2, "март": 3, "апрель": 4, "май": 5, "июнь": 6, "июль": 7, "август": 8, "сентябрь": 9, "октябрь": 10, "ноябрь": 11, "декабрь": 12}
 MONTHS_OF = {"января": 1, "февраля": 2, "марта": 3, "апреля": 4, "мая": 5, "июня": 6, "июля": 7, "августа": 8, "сентября": 9, "октября": 10, "ноября": 11, "декабря": 12}
-#: Kinds of places whose code is a kind and a number.
-PLACES = ("УУСА", "УУТЭ", "УТП", "УТ", "УП", "ОПВ", "ОПН", "КР", "КМ", "КД")
+#: Kinds of places whose code is a kind and a number, a blank may stand between; with the last kind a hyphen too.
+PLACES = ("УУСА", "УУТЭ", "УТП", "УТ", "УП", "ОПВ", "ОПН", "КР", "КМ")
+HYPHEN_PLACES = ("КД",)
 #: Units and how they are written.
 UNITS = {"м3": ("м3", "м 3", "куб.м"), "м2": ("м2", "м 2", "кв.м"), "м": ("м", "мп", "пог.м", "п.м"), "т": ("т", "тн"), "шт": ("шт",), "стык": ("стык",), "рез": ("рез",), "компл": ("компл", "комп", "комплект"), "конс": ("конс", "констр", "конструкция")}
 #: What a track may say.
@@ -32,8 +33,7 @@ def without_markers(text: Column, markers: Sequence[str]) -> Column:
 
 def place_code(name: Column) -> Column:
     """The first place's code in a name, in upper case and without blanks."""
-    kinds = "|".join(PLACES)
-    found = F.regexp_extract(name, rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])((?:{kinds})[\s-]?\d+(?:\.\d+)?|ТЭЦ)(?![\p{{L}}\p{{N}}_])", 1)
+    found = F.regexp_extract(name, rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])((?:(?:{'|'.join(PLACES)})\s?|(?:{'|'.join(HYPHEN_PLACES)})[\s-]?)\d+(?:\.\d+)?|ТЭЦ)(?![\p{{L}}\p{{N}}_])", 1)
     return F.nullif(F.replace(F.upper(found), F.lit(" "), F.lit("")), F.lit(""))
 
 
@@ -43,13 +43,18 @@ def end_of_months(text: Column, year: int) -> Column:
     return F.last_day(F.make_date(F.lit(year), F.array_max(named), F.lit(1)))
 
 
+def dotted_date(text: Column) -> Column:
+    """The first date of a text in digits (5.8.26 or 05.08.2026; years under 100 are of this century)."""
+    part = lambda k: F.regexp_extract(text, r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})", k)
+    year = part(3).try_cast("int")
+    return F.try_make_timestamp(F.when(year < 100, year + 2000).otherwise(year), part(2).try_cast("int"), part(1).try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+
 def written_date(text: Column) -> Column:
-    """The first date of a text, as 5 августа 2026 or 05.08.26 (two digits are of this century)."""
-    part = lambda p, k: F.regexp_extract(text, p, k)
-    words, digits = r"(\d{1,2})[»\s]+(\p{L}+)\s+(\d{4})", r"(\d{2})\.(\d{2})\.(\d{4}|\d{2})(?!\d)"
-    by_name = F.try_to_date(F.concat_ws("-", part(words, 3), F.lpad(lookup(F.lower(part(words, 2)), MONTHS_OF).cast("string"), 2, "0"), F.lpad(part(words, 1), 2, "0")))
-    year = F.when(F.length(part(digits, 3)) == 2, F.concat(F.lit("20"), part(digits, 3))).otherwise(part(digits, 3))
-    return F.coalesce(by_name, F.try_to_date(F.concat_ws("-", year, part(digits, 2), part(digits, 1))))
+    """The first date of a text by its month's name (5 августа 2026), else the first one in digits."""
+    part = lambda k: F.regexp_extract(text, r"(\d{1,2})[»\s]+(\p{L}+)\s+(\d{4})", k)
+    by_name = F.try_to_date(F.concat_ws("-", part(3), F.lpad(lookup(F.lower(part(2)), MONTHS_OF).cast("string"), 2, "0"), F.lpad(part(1), 2, "0")))
+    return F.coalesce(by_name, dotted_date(text))
 
 
 def unit_and_factor(unit: Column) -> tuple[Column, Column]:
@@ -69,10 +74,14 @@ def polarity(words: Column, takes_away: Iterable[str], puts_up: Iterable[str]) -
     return F.when(away & ~up, "neg").when(up & ~away, "pos")
 
 
+def groups_of(words: Column, groups: Sequence[Iterable[str]]) -> Column:
+    """The numbers of the groups of which a word set has some word."""
+    return F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*(F.lit(w) for w in g))), k) for k, g in enumerate(groups))))
+
+
 def material_conflict(a: Column, b: Column, groups: Sequence[Iterable[str]]) -> Column:
     """Whether both word sets name materials and none of the same group."""
-    of = lambda words: F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*(F.lit(w) for w in g))), k) for k, g in enumerate(groups))))
-    return (F.size(of(a)) > 0) & (F.size(of(b)) > 0) & ~F.arrays_overlap(of(a), of(b))
+    return (F.size(groups_of(a, groups)) > 0) & (F.size(groups_of(b, groups)) > 0) & ~F.arrays_overlap(groups_of(a, groups), groups_of(b, groups))
 
 
 def track(text: Column, allow_fact: bool) -> Column:
@@ -90,9 +99,13 @@ def responsible(text: Column, names: Mapping[str, str]) -> dict[str, Column]:
 
 
 def closed_on(text: Column) -> Column:
-    """The date right after the first word for removed that no word for going to stands before; null without one."""
-    found = F.regexp_extract(text, r"(?iu)(?<!будет )(?<!будет, )снят[оа](?![\p{L}\p{N}_])(.{0,25})", 1)
-    return written_date(found)
+    """The first date in the 25 characters after a word for removed that the word for going to does not stand before; null without one."""
+    parts = F.split(text, r"(?iu)снят[оа](?![\p{L}\p{N}_])", -1)
+    word = 5  # characters of that word
+    start = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p)) + word * i
+    going = lambda i: F.regexp_extract(F.element_at(parts, i), r"(?iu)(\S*?)[,;]*\s*$", 1)
+    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i < F.size(parts)) & (F.lower(going(i)) != "будет"))
+    return F.get(F.array_compact(F.transform(hits, lambda i: dotted_date(F.substring(text, start(i) + 1, F.lit(25))))), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

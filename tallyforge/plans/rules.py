@@ -14,16 +14,6 @@ from .registry import query
 TO = r.TODAY_ORDERS
 
 
-def sample(texts: list[str | None], key: str) -> Column:
-    """One of some texts by a key."""
-    return F.element_at(F.array(*(F.lit(x) for x in texts)), (F.col(key) % len(texts) + 1).cast("int"))
-
-
-def sql_sample(texts: list[str | None], key: str) -> str:
-    quoted = ", ".join("null" if x is None else "'" + x.replace("'", "''") + "'" for x in texts)
-    return f"[{quoted}][{key} % {len(texts)} + 1]"
-
-
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.read(spark, sf_dir, "orders")
 
@@ -125,11 +115,11 @@ def two_currents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with o as (select p_brand, max(p_size) as last from part where p_partkey % 3 <> 0 group by 1), n as (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as n from part where p_partkey % 3 = 0)
- select p_partkey, concat('TM-', p_brand, '-', case when length(cast(coalesce(last, 0) + n as varchar)) < 3 then lpad(cast(coalesce(last, 0) + n as varchar), 3, '0') else cast(coalesce(last, 0) + n as varchar) end) as code from n left join o using (p_brand)""")
+ select p_partkey, concat('WK-', p_brand, '-', case when length(cast(coalesce(last, 0) + n as varchar)) < 3 then lpad(cast(coalesce(last, 0) + n as varchar), 3, '0') else cast(coalesce(last, 0) + n as varchar) end) as code from n left join o using (p_brand)""")
 def next_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of new works that go on after the largest of their source."""
-    part = r.read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", F.lit("TM"), "p_brand", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("code"))
-    return g.next_codes(part.where("p_partkey % 3 = 0").drop("code"), part.where("p_partkey % 3 != 0"), "p_brand", "code", "p_partkey", "TM-").select("p_partkey", "code")
+    part = r.read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws("-", F.lit("WK"), "p_brand", F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("code"))
+    return g.next_codes(part.where("p_partkey % 3 = 0").drop("code"), part.where("p_partkey % 3 != 0"), "p_brand", "code", "p_partkey", "WK-").select("p_partkey", "code")
 
 
 @query("select o_orderkey, o_orderpriority = '1-URGENT' as urgent, round(o_totalprice / 1000, 0) as score from orders order by urgent desc, score desc, o_orderkey limit 200")
@@ -144,13 +134,18 @@ def partition_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.partition_identity(orders(spark, sf_dir), {"done": F.col("o_orderstatus") == "F", "going": F.col("o_orderstatus") == "P", "waiting": F.col("o_orderstatus") == "O"})
 
 
-UNIT_TEXTS = ["100 м3", "м2", "куб.м", "1 000 шт.", "пог.м", "Т", "10 стык", "конструкция", "ведро", None]
-UNIT_WANT = [("м3", 100.0), ("м2", 1.0), ("м3", 1.0), ("шт", 1000.0), ("м", 1.0), ("т", 1.0), ("стык", 10.0), ("конс", 1.0), ("ведро", 1.0), (None, 1.0)]
+ALIASES = [(alias, unit) for unit, names in t.UNITS.items() for alias in names] + [("ведро", "ведро")]
 
 
-@query(f"select p_partkey, {sql_sample([u for u, _ in UNIT_WANT], 'p_partkey')} as unit, {str([f for _, f in UNIT_WANT])}[p_partkey % 10 + 1]::double as factor from part")
+@query(f"""with texts as (select p_partkey, concat(case p_size % 3 when 0 then concat(p_size * 10, ' ') when 1 then concat(p_size, ' 000 ') else '' end, upper({[a for a, _ in ALIASES]}[(p_partkey + p_size) % {len(ALIASES)} + 1]), case when p_size % 2 = 0 then '.' else '' end) as text from part),
+ low as (select p_partkey, regexp_replace(lower(trim(text)), '\\.+$', '') as text from texts), cut as (select p_partkey, regexp_extract(text, '^([0-9][0-9\\s]*)', 1) as number, trim(regexp_replace(text, '^[0-9][0-9\\s]*', '')) as rest from low)
+ select p_partkey, coalesce(known, rest) as unit, case when number <> '' then cast(replace(number, ' ', '') as double) else 1.0 end as factor from cut left join (values {", ".join(map(str, ALIASES))}) v(alias, known) on alias = rest""")
 def unit_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.read(spark, sf_dir, "part").select("p_partkey", sample(UNIT_TEXTS, "p_partkey").alias("text"))
+    """Units as they are written with a number by the part's size, read back."""
+    size = F.col("p_size")
+    number = F.when(size % 3 == 0, F.concat((size * 10).cast("string"), F.lit(" "))).when(size % 3 == 1, F.concat(size.cast("string"), F.lit(" 000 "))).otherwise("")
+    alias = F.upper(F.element_at(F.array(*(F.lit(a) for a, _ in ALIASES)), ((F.col("p_partkey") + size) % len(ALIASES) + 1).cast("int")))
+    rows = r.read(spark, sf_dir, "part").select("p_partkey", F.concat(number, alias, F.when(size % 2 == 0, ".").otherwise("")).alias("text"))
     unit, factor = t.unit_and_factor(F.col("text"))
     return rows.select("p_partkey", unit.alias("unit"), factor.alias("factor"))
 
@@ -163,42 +158,73 @@ def polarity_and_material(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.read(spark, sf_dir, "part").select("p_partkey", t.polarity(words, ["small", "cold"], ["large", "hot"]).alias("polarity"), t.material_conflict(words, other, [["widget"], ["bolt"]]).alias("conflict"))
 
 
-PLACE_TEXTS = ["Монтаж на УТ13", "камера кд-4.1, уууса", "УУСА 1 и УТ2", "ПАВИЛЬОН", "трасса ТЭЦ", None]
-MONTH_TEXTS = ["Август-Сентябрь-Октябрь", "февраль", "", "по готовности", "Декабрь 2025", None]
-DATE_TEXTS = ["«5» августа 2026 г.", "Снято 05.08.26", "до 31.12.2025.", "32.01.2026", "нет", None]
+KINDS = [*t.PLACES, *t.HYPHEN_PLACES, "склад"]
+MONTHS, MONTHS_OF = list(t.MONTHS), list(t.MONTHS_OF)
+PLACE_SQL = f"concat(o_orderpriority, ' ', lower({KINDS}[o_orderkey % {len(KINDS)} + 1]), ['', ' ', '-'][o_custkey % 3 + 1], o_custkey % 40, case when o_orderkey % 2 = 0 then '.1' else '' end, ', ', o_clerk)"
+MONTH_SQL = f"case when o_orderkey % 5 = 0 then o_orderpriority else concat(upper({MONTHS}[month(o_orderdate)]), '-', {MONTHS}[month(o_orderdate + interval 60 day)]) end"
+DATE_SQL = f"""case o_orderkey % 4 when 0 then concat('от «', day(o_orderdate), '» ', {MONTHS_OF}[month(o_orderdate)], ' ', year(o_orderdate), ' г.') when 1 then concat('до ', day(o_orderdate), '.', month(o_orderdate), '.', strftime(o_orderdate, '%y'))
+ when 2 then concat('к ', strftime(o_orderdate, '%d.%m.%Y'), '.') else concat(day(o_orderdate), '.', month(o_orderdate) + 12, '.', year(o_orderdate)) end"""
 
 
-@query(f"""select p_partkey, {sql_sample(["УТ13", "КД-4.1", "УУСА1", None, "ТЭЦ", None], 'p_partkey')} as place, cast({sql_sample(["2026-10-31", "2026-02-28", None, None, "2026-12-31", None], 'p_partkey')} as date) as month_end,
- cast({sql_sample(["2026-08-05", "2026-08-05", "2025-12-31", None, None, None], 'p_partkey')} as date) as written from part""")
+@query(f"""with texts as (select o_orderkey, {PLACE_SQL} as place, {MONTH_SQL} as months, {DATE_SQL} as day from (select *, concat('Clerk', o_custkey) as o_clerk from orders)),
+ cut as (select *, regexp_extract(place, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])((?:(?:{"|".join(t.PLACES)})\\s?|(?:{"|".join(t.HYPHEN_PLACES)})[\\s-]?)[0-9]+(?:\\.[0-9]+)?|ТЭЦ)(?:[^\\p{{L}}\\p{{N}}_]|$)', 1) as code,
+  list_max(list_filter([case when contains(lower(months), m) then i end for m, i in {MONTHS}], lambda x: x is not null)) as last,
+  regexp_extract(day, '([0-9]{{1,2}})[»\\s]+(\\p{{L}}+)\\s+([0-9]{{4}})', ['d', 'm', 'y']) as named, regexp_extract(day, '([0-9]{{1,2}})\\.([0-9]{{1,2}})\\.([0-9]{{2,4}})', ['d', 'm', 'y']) as dotted from texts)
+ select o_orderkey, nullif(replace(upper(code), ' ', ''), '') as place, case when last is not null then last_day(make_date(2026, cast(last as int), 1)) end as month_end,
+  coalesce(cast(try_strptime(concat(named.y, '-', list_position({MONTHS_OF}, named.m), '-', named.d), '%Y-%m-%d') as date), cast(try_strptime(concat(case when length(dotted.y) = 2 then '20' else '' end, dotted.y, '-', dotted.m, '-', dotted.d), '%Y-%m-%d') as date)) as written from cut""")
 def places_and_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places, ends of named months and written dates in texts."""
-    rows = r.read(spark, sf_dir, "part")
-    return rows.select("p_partkey", t.place_code(sample(PLACE_TEXTS, "p_partkey")).alias("place"), t.end_of_months(sample(MONTH_TEXTS, "p_partkey"), 2026).alias("month_end"), t.written_date(sample(DATE_TEXTS, "p_partkey")).alias("written"))
+    """Places, ends of named months and written dates, read back from texts that orders give."""
+    k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), at.cast("int"))
+    text = lambda *xs: F.concat(*(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs))
+    place = text(F.col("o_orderpriority"), " ", F.lower(pick(KINDS, k % len(KINDS) + 1)), pick(["", " ", "-"], c % 3 + 1), c % 40, F.when(k % 2 == 0, ".1").otherwise(""), ", Clerk", c)
+    months = F.when(k % 5 == 0, F.col("o_orderpriority")).otherwise(text(F.upper(pick(MONTHS, F.month(day))), "-", pick(MONTHS, F.month(F.date_add(day, 60)))))
+    dates = F.when(k % 4 == 0, text("от «", F.day(day), "» ", pick(MONTHS_OF, F.month(day)), " ", F.year(day), " г.")).when(k % 4 == 1, text("до ", F.day(day), ".", F.month(day), ".", F.date_format(day, "yy")))
+    dates = dates.when(k % 4 == 2, text("к ", F.date_format(day, "dd.MM.yyyy"), ".")).otherwise(text(F.day(day), ".", F.month(day) + 12, ".", F.year(day)))
+    return orders(spark, sf_dir).select("o_orderkey", t.place_code(place).alias("place"), t.end_of_months(months, 2026).alias("month_end"), t.written_date(dates).alias("written"))
 
 
-TRACK_TEXTS = ["Не вып.", " да ", "факт", "потом", "", None, "выполн."]
-TEAM_TEXTS = ["ПТО", "дпр + ИКС (участок 3)", "пто+ПТО+Склад", "(без имени)", None]
 TEAMS = {"пто": "ПТО", "дпр": "ДПР", "икс": "ИКС"}
-STATE_TEXTS = ["Снято 05.08.26", "будет снято 05.08.26", "частично, снята 01.02.2026, далее", "снято", "отклонено", None]
-
-
-@query(f"""select p_partkey, {sql_sample(["not_done", "done", "other", "other", "unknown", "unknown", "done"], 'p_partkey')} as track, {sql_sample(["not_done", "done", "fact", "other", "unknown", "unknown", "done"], 'p_partkey')} as physical,
- {sql_sample(["ПТО", "ДПР; ИКС", "ПТО", "", ""], 'p_partkey')} as names, {sql_sample([None, "участок 3", None, "без имени", None], 'p_partkey')} as note, {sql_sample(["", "", "Склад", "", ""], 'p_partkey')} as unmapped,
- cast({sql_sample(["2026-08-05", None, "2026-02-01", None, None, None], 'p_partkey')} as date) as closed_on from part""")
+TEAM_NAMES = [*TEAMS, "склад"]
+TRACK_WORDS = [*t.TRACKS, "потом", ""]
+TEAM_SQL = f"concat({TEAM_NAMES}[l_linenumber % 4 + 1], ' + ', upper({TEAM_NAMES}[l_suppkey % 4 + 1]), case when l_orderkey % 3 = 0 then concat(' (участок ', l_linenumber, ')') else '' end)"
+STATE_SQL = "concat(case when l_orderkey % 2 = 0 then 'будет, снято ' else 'Снято ' end, strftime(l_shipdate, '%d.%m.%y'), case l_linenumber % 3 when 0 then '; снята без даты, затем, после обхода, СНЯТО ' when 1 then '; не снятое ' else '; отклонено ' end, day(l_shipdate), '.', month(l_shipdate), '.', year(l_shipdate))"
+
+
+@query(f"""with texts as (select l_orderkey, l_linenumber, concat(' ', upper({TRACK_WORDS}[(l_orderkey + l_linenumber) % {len(TRACK_WORDS)} + 1]), ' ') as track, {TEAM_SQL} as team, {STATE_SQL} as state from lineitem),
+ tracks as (select * from (values {", ".join(map(str, t.TRACKS.items()))}) v(said, means)), teams as (select * from (values {", ".join(map(str, TEAMS.items()))}) v(said, means)),
+ split as (select *, list_filter(list_transform(string_split(regexp_replace(team, '\\([^)]*\\)', '', 'g'), '+'), lambda x: trim(x)), lambda x: x <> '') as members, (select map(list(said), list(means)) from teams) as known from texts),
+ hits as (select state, p, state[p + 5:p + 29] as tail, lower(rtrim(regexp_extract(rtrim(state[1:p - 1]), '(\\S*)$', 1), ',;')) as before from (select state, unnest(range(1, length(state) + 1)) as p from (select distinct state from texts)) where regexp_matches(lower(state[p:p + 5]), '^снят[оа]([^\\p{{L}}\\p{{N}}_]|$)')),
+ dated as (select state, p, regexp_extract(tail, '([0-9]{{1,2}})\\.([0-9]{{1,2}})\\.([0-9]{{2,4}})', ['d', 'm', 'y']) as x from hits where before <> 'будет'),
+ closed as (select state, min_by(day, p) as closed_on from (select *, cast(try_strptime(concat(case when length(x.y) = 2 then '20' else '' end, x.y, '-', x.m, '-', x.d), '%Y-%m-%d') as date) as day from dated) where day is not null group by 1)
+ select l_orderkey, l_linenumber, case when trim(track) = '' then 'unknown' when means is null or means = 'fact' then 'other' else means end as track, case when trim(track) = '' then 'unknown' else coalesce(means, 'other') end as physical,
+  array_to_string(list_filter([case when not list_contains(members[1:i - 1], m) then known[lower(m)] end for m, i in list_transform(members, lambda x: lower(x))], lambda x: x is not null), '; ') as names,
+  nullif(array_to_string(list_transform(regexp_extract_all(team, '\\(([^)]*)\\)', 1), lambda x: trim(x)), '; '), '') as note, array_to_string(list_filter(members, lambda x: known[lower(x)] is null), '; ') as unmapped, closed_on
+ from split left join tracks on said = lower(trim(track)) left join closed using (state)""")
 def tracks_and_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks, responsible parties and dates of removal in texts."""
-    track = sample(TRACK_TEXTS, "p_partkey")
-    rows = r.read(spark, sf_dir, "part").select("p_partkey", t.track(track, False).alias("track"), t.track(track, True).alias("physical"), sample(TEAM_TEXTS, "p_partkey").alias("team"), t.closed_on(sample(STATE_TEXTS, "p_partkey")).alias("closed_on"))
+    """Tracks, responsible parties and dates of removal, read back from texts that lines give."""
+    k, n, day = F.col("l_orderkey"), F.col("l_linenumber"), F.to_date("l_shipdate")
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), at.cast("int"))
+    text = lambda *xs: F.concat(*(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in xs))
+    track = text(" ", F.upper(pick(TRACK_WORDS, (k + n) % len(TRACK_WORDS) + 1)), " ")
+    team = text(pick(TEAM_NAMES, n % 4 + 1), " + ", F.upper(pick(TEAM_NAMES, F.col("l_suppkey") % 4 + 1)), F.when(k % 3 == 0, text(" (участок ", n, ")")).otherwise(""))
+    state = text(F.when(k % 2 == 0, "будет, снято ").otherwise("Снято "), F.date_format(day, "dd.MM.yy"), F.when(n % 3 == 0, "; снята без даты, затем, после обхода, СНЯТО ").when(n % 3 == 1, "; не снятое ").otherwise("; отклонено "), F.day(day), ".", F.month(day), ".", F.year(day))
+    rows = r.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.track(track, False).alias("track"), t.track(track, True).alias("physical"), team.alias("team"), t.closed_on(state).alias("closed_on"))
     return rows.withColumns(t.responsible(F.col("team"), TEAMS)).drop("team")
 
 
-@query(f"""select p_partkey, case when p_partkey % 9 = 0 then 'no text layer' when p_partkey % 8 = 0 then 'unknown form' when p_partkey % 7 = 0 then 'no number or date' when p_size = 1 then 'no records' when p_partkey % 5 = 0 then 'image page' when p_partkey % 4 = 0 then 'declared differs' end as refused,
- {sql_sample(["plain", "warning", "success"], 'p_partkey')} as ring from part""")
+@query(f"""with l as (select doc_id, length(trim(text)) as chars, starts_with(text, 'T') or starts_with(text, 'D') or starts_with(text, 'E') as form, nullif(regexp_extract(text, '([0-9]+)', 1), '') as no, regexp_extract(text, '([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})', 0) as day, string_split(text, chr(10)) as rows from documents),
+ c as (select *, len(list_filter(rows, lambda x: length(x) >= 200)) as records, len(list_filter(rows, lambda x: trim(x) = '')) as images, case when no is not null then length(no) end as declared from l)
+ select doc_id, case when chars < 200 then 'no text layer' when not form then 'unknown form' when no is null or try_cast(day as date) is null then 'no number or date' when records = 0 then 'no records' when images > 0 then 'image page' when declared is not null and declared <> records then 'declared differs' end as refused,
+  case when 100.0 * records / len(rows) < 50 then 'warning' when 100.0 * records / len(rows) >= 80 then 'success' else 'plain' end as ring from c""")
 def import_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first reason to refuse a file, and the class of a percentage."""
-    k, records = F.col("p_partkey"), F.when(F.col("p_size") == 1, 0).otherwise(F.col("p_size"))
-    refused = g.guard(F.when(k % 9 == 0, 10).otherwise(500), k % 8 != 0, F.when(k % 7 != 0, "1"), F.lit(TO).cast("date"), records, (k % 5 == 0).cast("int"), F.when(k % 4 == 0, records + 1))
-    return r.read(spark, sf_dir, "part").select("p_partkey", refused.alias("refused"), t.ring_class(F.element_at(F.array(F.lit(60), F.lit(10), F.lit(80)), (k % 3 + 1).cast("int"))).alias("ring"))
+    """The first reason to refuse a document as a file of records (its long lines), and the class of their share."""
+    text, rows = F.col("text"), F.split("text", "\n")
+    number = F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
+    records = F.size(F.filter(rows, lambda x: F.length(x) >= 200))
+    form = text.startswith("T") | text.startswith("D") | text.startswith("E")
+    refused = g.guard(F.length(F.trim(text)), form, number, F.regexp_extract(text, r"(\d{4})-(\d{2})-(\d{2})", 0).try_cast("date"), records, F.size(F.filter(rows, lambda x: F.trim(x) == "")), F.length(number))
+    return r.read(spark, sf_dir, "documents").select("doc_id", refused.alias("refused"), t.ring_class(F.lit(100.0) * records / F.size(rows)).alias("ring"))
 
 
 @query(f"with {r.CHANGES} select change_id, unnest(list_filter([case when due is null then 'no_due_date' end, case when answered is null and status = 'approved' then 'no_answer' end, case when answered < requested then 'bad_date' end, case when status is null then 'no_status' end], lambda x: x is not null)) as issue from changes")
