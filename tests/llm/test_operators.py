@@ -18,6 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import tallyforge.llm.decontaminate as dc
 from tallyforge.llm import html_extract as hx
 from tallyforge.llm.decontaminate import build, decontaminate, stream
 from tallyforge.llm.arrays import buffers
@@ -395,7 +396,7 @@ def contaminated(docs, items, window):
         yield i, len(w), sum(hit), len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), any(hit)
 
 
-def test_decontaminate(spark, nasty, rows):
+def test_decontaminate(spark, nasty, rows, monkeypatch):
     items = [(1, rows[0][1][:80]), (2, rows[0][1][10:90] + " tail words"), (3, "one"), (4, None), (5, " ,, "), (6, "same same SAME"), (7, "É ü Ñ é"), (None, "ONE-two")]
     got = decontaminate(nasty, spark.createDataFrame(items, "item_id int, text string"), 5)
     want = sorted(contaminated([r[:2] for r in rows], items, 5), key=key)
@@ -406,6 +407,10 @@ def test_decontaminate(spark, nasty, rows):
     for r in got.collect():
         assert (r.kept_text is None) or not r.contaminated or len(fold(r.kept_text)) == r.n_words - r.n_hit
         assert r.dropped is (r.n_hit > r.n_words)
+    for bits, size in ((1 << 10, 1 << 24), (1 << 29, 500)):  # a filter that lets nearly all through; parts dealt to many tasks
+        monkeypatch.setattr(dc, "MOST_BITS", bits), monkeypatch.setattr(dc, "SLICE_BYTES", size)
+        again = decontaminate(nasty, spark.createDataFrame(items, "item_id int, text string"), 5, part_bytes=40)
+        assert sorted(map(tuple, again.collect()), key=key) == sorted(map(tuple, got.collect()), key=key)
     carried = decontaminate(nasty, spark.createDataFrame(items, "item_id int, text string"), 5, carry=True)
     assert sorted((key(r.row) for r in carried.collect())) == sorted(key(r) for r in rows)
     assert decontaminate(nasty, spark.createDataFrame([], "item_id int, text string"), 5).where("contaminated").count() == 0
