@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mroot mrow ms msqrt msub msubsup msup mtext munder munderover q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style template textarea title iframe".split())  # to the end of the page, if never closed
 SKIPPED = frozenset("noscript object svg canvas audio video select button".split())
-BOILER = frozenset("nav footer aside form menu dialog fieldset legend option datalist".split())
+BOILER = frozenset("nav footer aside menu dialog fieldset legend option datalist".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p blockquote pre li td dd".split())
@@ -55,7 +55,7 @@ END = {n: re.compile(rf"</{n}\s*>", re.I) for n in (*RAW, *SKIPPED)}
 
 #: Features of a block and their weights before any fit: first those of its text, then those of what it stands in.
 TEXT_WEIGHTS = {"bias": -1.6, "length": 0.45, "links": -4.0, "sentence": 0.8, "signs": -2.0}
-PLACE_WEIGHTS = {"paragraph": 0.8, "heading": 0.8, "item": -0.2, "hint": -8.0, "good": 1.0, "boiler": -8.0, "content": 3.0, "hidden": -10.0}
+PLACE_WEIGHTS = {"own_links": 4.0, "paragraph": 0.8, "heading": 0.8, "item": -0.2, "hint": -8.0, "good": 1.0, "boiler": -8.0, "content": 3.0, "hidden": -10.0}
 DEFAULT = (*TEXT_WEIGHTS.values(), *PLACE_WEIGHTS.values())
 #: Smoothness of blocks that are one step apart, doubled; capacities are integers of 1 / SCALE.
 SMOOTH, SCALE = 3.0, 1000
@@ -75,7 +75,9 @@ class Node:
     hidden: bool = False
     heading: bool = False
     item: bool = False
-    chars: int = 0  # of text below, in an element with a hint
+    chars: int = 0  # of text below, in an element with a hint and in one of content
+    plain: int = 0  # of these, in an element of content, those below no hint inside it
+    within: Node | None = None  # the nearest element of content, itself included
     holds: set[str] = field(default_factory=set)  # of article, main, h1: what an element with a hint holds
 
 
@@ -100,13 +102,15 @@ def names_tell(attributes: str) -> int:
 
 
 def open_node(name: str, attributes: str, parent: Node) -> Node:
-    node = Node(name, parent, parent.depth + 1, parent.hint, parent.good, parent.boiler, parent.content, parent.hidden, parent.heading or name in HEADINGS, parent.item or name == "li")
+    node = Node(name, parent, parent.depth + 1, parent.hint, parent.good, parent.boiler, parent.content, parent.hidden, parent.heading or name in HEADINGS, parent.item or name == "li", within=parent.within)
     if attributes and name not in ("body", "html"):
         told = names_tell(attributes)
         if told < 0:
             node.hint = node
         node.good |= told > 0
         node.hidden |= HIDDEN.search(attributes) is not None
+    if name == "form":
+        node.hint = node
     node.boiler |= name in BOILER or (name == "header" and not node.content)
     if name in CONTENT or name == "h1":
         up = node.parent.hint
@@ -114,7 +118,7 @@ def open_node(name: str, attributes: str, parent: Node) -> Node:
             up.holds.add(name)
             up = up.parent.hint
     if name in CONTENT:
-        node.content = True
+        node.content, node.within = True, node
     return node
 
 
@@ -137,6 +141,12 @@ def blocks_of(page: str) -> list[Block]:
                 while up is not None:
                     up.chars += len(text)
                     up = up.parent.hint
+                up = node.within
+                while up is not None:
+                    up.chars += 0 if up.hint is up else len(text)
+                    if not node.boiler and not node.hidden and (node.hint is None or node.hint.depth <= up.depth):
+                        up.plain += len(text)
+                    up = up.parent.within
         parts, linked = [], 0
 
     def say(text: str) -> None:
@@ -215,11 +225,18 @@ def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     stands: dict[int, bool] = {}
 
     def hinted(node: Node) -> bool:
-        """Whether a hint holds: not that of an element with the article or, under a first heading, most of the page's text."""
+        """Whether a hint holds.
+
+        It doesn't for an element with the article or, under a first heading or in a form, most
+        of the page's text, nor for one inside an article of which it would leave nothing.
+        """
         up = node.hint
         while up is not None:
             if id(up) not in stands:
-                stands[id(up)] = not (up.holds & CONTENT or ("h1" in up.holds and 2 * up.chars > whole))
+                most = 2 * up.chars > whole and ("h1" in up.holds or up.name == "form")
+                inside = up.parent.within
+                all_of_it = inside is not None and not inside.plain and 2 * up.chars > inside.chars
+                stands[id(up)] = not (up.holds & CONTENT or most or all_of_it)
             if stands[id(up)]:
                 return True
             up = up.parent.hint
@@ -229,7 +246,7 @@ def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     for b in blocks:
         n, node = len(b.text), b.node
         text = (1.0, math.log2(1 + n), min(b.link_chars / n, 1.0), b.text[-1] in ".!?:;\"')…。", any(c in b.text for c in "©®"))
-        rows.append((*text, node.name in PARAGRAPHS, node.heading, node.item, hinted(node), node.good, node.boiler, node.content, node.hidden))
+        rows.append((*text, text[2] * node.content, node.name in PARAGRAPHS, node.heading, node.item, hinted(node), node.good, node.boiler, node.content, node.hidden))
     return rows
 
 

@@ -444,6 +444,21 @@ def test_decontaminate_query(spark, sf_dir):
     assert got == set(contaminated(read("documents", "doc_id"), read("benchmark", "item_id"), 10))
 
 
+LONG = "The text of the article is in this element, and it goes on. "
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<nav><a href=/>Home</a></nav><article><ul>" + "".join(f"<li><a href=/{i}>Link number {i} here</a></li>" for i in range(6)) + "</ul></article>", "\n".join(f"Link number {i} here" for i in range(6))),
+    (f"<form><nav><a href=/>Home</a></nav><p>{LONG * 3}</p><p>{LONG}</p></form>", f"{(LONG * 3).strip()}\n{LONG.strip()}"),
+    (f"<article><div class='comment-body'><p>{LONG}</p></div></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><div class='comment-body'><p>{LONG * 4}</p></div></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><form><p>{LONG}</p></form></article>", LONG.strip()),
+])
+def test_pages_whose_places_mislead(page, want):
+    """A list of links as an article, a page in one form, an article below a comment's name; but comments and forms beside a text go."""
+    assert hx.main_text(f"<html><body>{page}</body></html>") == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="menu-page">
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies on this very long site notice that goes on and on.</div>
 <main><article><header><h1>Title &amp; more</h1></header><p>First  <b>bold</b>\n text of the article, long enough to count.<p>Second&nbsp;one<br>goes on.
