@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
+from ..operators.versioned import latest
+from ..session import shared_folder
 from ..sources import readers as rd
 from ..sources import roles as r
 from .registry import query
 
+@query("select o_orderkey, o_custkey, case when o_orderkey % 7 <> 0 then concat(o_orderpriority, chr(9), 'a\\b') end as note from orders")
+def dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as blocks of a database dump, a block for each day between those of other tables, and read back from all splits."""
+    cell = F.when(F.col("o_orderkey") % 7 == 0, "\\N").otherwise(F.concat("o_orderpriority", F.lit("\\ta\\\\b")))
+    row = F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), cell)
+    block = F.concat(F.lit("COPY public.days (d) FROM stdin;\n"), F.first(F.col("o_orderdate").cast("string")), F.lit("\n\\.\n\nCOPY public.orders (id, customer, note) FROM stdin;\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\n\\.\n"))
+    path = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    r.read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate")).agg(block.alias("value")).select("value").write.text(path)
+    rows = rd.read_copy(spark, path, "orders", ["id", "customer", "note"])
+    return rows.select(F.col("id").cast("long").alias("o_orderkey"), F.col("customer").cast("long").alias("o_custkey"), "note")
+
+
+REPLIES = "replies as (select cast(ts as date) as date, sum(value) as rain, min(value) as low, max(value) as high, max(case when hour(ts) = 9 then value end) as nine, cast(max(event_id) % 90 as int) as code, count(*) as n from events group by 1)"
+
+
+@query(f"with {REPLIES} select date, case when n % 5 > 0 then round(low, 3) end as lowest, case when n % 5 > 0 then round(high, 3) end as highest, case when n % 5 > 0 then code end as code, case when n % 5 > 0 then round(nine, 3) end as temperature_09, case when n % 5 = 0 then 'error' else 'ok' end as status, case when n % 5 = 0 then 'unreadable reply' when nine is null then 'no reading at 09:00' end as note from replies")
+def weather_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's weather from replies with parallel arrays, each fifth of which can't be read; the later of two replies holds."""
+    day = r.read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max(F.when(F.hour("ts") == 9, F.col("value"))).alias("nine"), (F.max("event_id") % 90).cast("int").alias("code"), F.count("*").alias("n"))
+    time, one = F.col("d").cast("string"), lambda x, name: F.array(x).alias(name)
+    daily = F.struct(one(time, "time"), one(F.round("low", 3), "temperature_2m_min"), one(F.round("high", 3), "temperature_2m_max"), one(F.col("code"), "weathercode"))
+    hourly = F.when(F.col("nine").isNotNull(), F.struct(one(F.concat(time, F.lit("T09:00")), "time"), one(F.round("nine", 3), "temperature_2m")))
+    reply = F.when(F.col("n") % 5 == 0, "<html>busy</html>").otherwise(F.to_json(F.struct(daily.alias("daily"), hourly.alias("hourly"))))
+    last = day.select(F.col("d").alias("first_day"), F.col("d").alias("last_day"), reply.alias("reply"), F.lit(2).alias("fetched_at"))
+    replies = last.unionByName(last.withColumns({"fetched_at": F.lit(1), "reply": F.lit("{}")}))
+    return latest(rd.weather_days(replies), ["date"], ["fetched_at"]).select("date", "lowest", "highest", "code", "temperature_09", "status", "note")
+
+
 DAYS = [f"{d:02d}" for d in range(1, 32)]
 
 

@@ -25,12 +25,21 @@ def read_pipe(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def read_copy(spark: SparkSession, path: str, table: str, names: list[str]) -> DataFrame:
-    """The rows of one table's COPY block in a database dump (\\N is null).  Lines are numbered by the file's order, so the dump is one file."""
-    lines = spark.read.text(path, wholetext=True)
-    block = F.regexp_extract("value", rf"(?s)COPY (?:\w+\.)?{re.escape(table)} [^\n]*FROM stdin;\n(.*?)\n?\\\.", 1)
-    rows = lines.select(F.explode(F.split(block, "\n")).alias("row")).where("row != ''")
-    part = F.split("row", "\t")
-    return rows.select(*(F.when(F.get(part, F.lit(i)) != "\\N", F.get(part, F.lit(i))).alias(n) for i, n in enumerate(names)))
+    """The rows of one table's COPY blocks in database dumps; \\N is null, escaped tabs, line ends and backslashes are read.
+
+    A dump is read in as many splits as it has.  A first pass looks only at lines that open or
+    close a block; a line belongs to the table if it lies between the two, by its split's
+    start and its place in the split.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))  # lines of a split are numbered in their order
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    opens = lines.where(F.col("value").rlike(rf"^COPY (?:\w+\.)?{re.escape(table)} .*FROM stdin;$")).select("file", F.col("at").alias("first"))
+    closes = lines.where(F.col("value") == "\\.").select("file", F.col("at").alias("last"))
+    blocks = opens.join(closes, "file").where("last > first").groupBy("file", "first").agg(F.min("last").alias("last"))  # as many as there are tables
+    rows = lines.join(blocks, "file").where("at > first and at < last and value != ''")
+    part = F.split("value", "\t", -1)
+    plain = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\0")), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
+    return rows.select(*(F.when(F.get(part, F.lit(i)) != "\\N", plain(F.get(part, F.lit(i)))).alias(n) for i, n in enumerate(names)))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,6 +56,27 @@ def weather_at_nine(replies: DataFrame, column: str = "reply") -> DataFrame:
     return rows.where(F.substring("time", 12, 5) == "09:00").select(F.to_date(F.substring("time", 1, 10)).alias("date"), "temperature", "precipitation", "code")
 
 
+REPLY = "struct<daily:struct<time:array<string>,precipitation_sum:array<double>,temperature_2m_min:array<double>,temperature_2m_max:array<double>,weathercode:array<int>>,hourly:struct<time:array<string>,temperature_2m:array<double>,weathercode:array<int>>>"
+
+
+def weather_days(replies: DataFrame) -> DataFrame:
+    """A row for each day of replies(first_day, last_day, reply, fetched_at): daily values, those of 09:00, status (ok, error) and note.
+
+    A reply that can't be read gives an error row for each day that was asked for; a day
+    without any value is an error too, one without a reading at 09:00 is noted.
+    """
+    read = replies.withColumn("_r", F.from_json("reply", REPLY)).withColumn("_n", F.size(F.coalesce("_r.daily.time", F.array())))
+    bad = read.where("_n < 1").select(F.explode(F.sequence("first_day", "last_day")).alias("date"), F.lit("unreadable reply").alias("note"), "fetched_at")
+    day = F.arrays_zip(*(F.col(f"_r.daily.{c}").alias(c) for c in ("time", "precipitation_sum", "temperature_2m_min", "temperature_2m_max", "weathercode")))
+    hour = F.arrays_zip(*(F.col(f"_r.hourly.{c}").alias(c) for c in ("time", "temperature_2m", "weathercode")))
+    days = read.where("_n >= 1").select("fetched_at", hour.alias("_hours"), F.explode(day).alias("_d")).withColumn("_nine", F.get(F.filter("_hours", lambda h: h["time"] == F.concat("_d.time", F.lit("T09:00"))), F.lit(0)))
+    values = {"precipitation": "_d.precipitation_sum", "lowest": "_d.temperature_2m_min", "highest": "_d.temperature_2m_max", "code": "_d.weathercode", "temperature_09": "_nine.temperature_2m", "code_09": "_nine.weathercode"}
+    empty = F.col("_d.precipitation_sum").isNull() & F.col("_d.temperature_2m_min").isNull() & F.col("_d.temperature_2m_max").isNull() & F.col("_nine").isNull()
+    note = F.when(empty, "no values").when(F.col("_nine").isNull(), "no reading at 09:00")
+    fine = days.select(F.to_date("_d.time").alias("date"), *(F.col(v).alias(k) for k, v in values.items()), F.when(empty, "error").otherwise("ok").alias("status"), note.alias("note"), "fetched_at")
+    return fine.unionByName(bad.withColumn("status", F.lit("error")), allowMissingColumns=True)
+
+
 def continuation_merge(rows: DataFrame, key: str, order: str, text: str, by: list[str]) -> DataFrame:
     """Rows without a key are glued to the last one that has it; rows before the first key form a group of their own."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

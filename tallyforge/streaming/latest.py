@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.versioned import latest
+from ..sources.readers import weather_days
 
 
 def latest_facts(stream: DataFrame, keys: list[str], ts: str, late: str = "2 days") -> DataFrame:
@@ -27,6 +28,11 @@ def first_of_week(stream: DataFrame, key: str, ts: str, late: str = "7 days") ->
     return stream.withWatermark(ts, late).groupBy(key, week).agg(F.min(F.struct(ts, *(c for c in stream.columns if c not in (key, ts)))).alias("v")).select(key, F.col("window.start").cast("date").alias("week"), "v.*")
 
 
+def poll_days(replies: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Days of weather replies that come in, kept by date in versions of a table under path: the last reply about a day holds, and one that comes again changes nothing."""
+    return upsert_into(weather_days(replies), path, ["date"], ["fetched_at"], checkpoint)
+
+
 def upsert_into(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
     """Keep the newest row of each key in versions of a Parquet table under path: each batch writes one named by its number, so a batch that is run again writes the same."""
 
