@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ";") -> DataFrame:
     """Delimited text with a header; a byte-order mark before the first name is dropped."""
@@ -24,6 +26,10 @@ def read_pipe(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.text(path).select(*(F.get(part, F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
+#: A table's blocks are sent to all workers if they are no more; beyond, lines are joined with them by file.
+FEW_BLOCKS = 10_000
+
+
 def read_copy(spark: SparkSession, path: str, table: str, names: list[str]) -> DataFrame:
     """The rows of one table's COPY blocks in database dumps; \\N is null, escaped tabs, line ends and backslashes are read.
 
@@ -35,7 +41,11 @@ def read_copy(spark: SparkSession, path: str, table: str, names: list[str]) -> D
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
     opens = lines.where(F.col("value").rlike(rf"^COPY (?:\w+\.)?{re.escape(table)} .*FROM stdin;$")).select("file", F.col("at").alias("first"))
     closes = lines.where(F.col("value") == "\\.").select("file", F.col("at").alias("last"))
-    blocks = opens.join(closes, "file").where("last > first").groupBy("file", "first").agg(F.min("last").alias("last"))  # as many as there are tables
+    blocks = opens.join(closes, "file").where("last > first").groupBy("file", "first").agg(F.min("last").alias("last"))
+    shared_folder(spark)
+    blocks = blocks.checkpoint()
+    if blocks.count() <= FEW_BLOCKS:
+        blocks = F.broadcast(blocks)
     rows = lines.join(blocks, "file").where("at > first and at < last and value != ''")
     part = F.split("value", "\t", -1)
     plain = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\0")), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
@@ -67,8 +77,8 @@ def weather_days(replies: DataFrame) -> DataFrame:
     """
     read = replies.withColumn("_r", F.from_json("reply", REPLY)).withColumn("_n", F.size(F.coalesce("_r.daily.time", F.array())))
     bad = read.where("_n < 1").select(F.explode(F.sequence("first_day", "last_day")).alias("date"), F.lit("unreadable reply").alias("note"), "fetched_at")
-    day = F.arrays_zip(*(F.col(f"_r.daily.{c}").alias(c) for c in ("time", "precipitation_sum", "temperature_2m_min", "temperature_2m_max", "weathercode")))
-    hour = F.arrays_zip(*(F.col(f"_r.hourly.{c}").alias(c) for c in ("time", "temperature_2m", "weathercode")))
+    day = F.arrays_zip(*(F.coalesce(F.col(f"_r.daily.{c}"), F.array()).alias(c) for c in ("time", "precipitation_sum", "temperature_2m_min", "temperature_2m_max", "weathercode")))
+    hour = F.arrays_zip(*(F.coalesce(F.col(f"_r.hourly.{c}"), F.array()).alias(c) for c in ("time", "temperature_2m", "weathercode")))
     days = read.where("_n >= 1").select("fetched_at", hour.alias("_hours"), F.explode(day).alias("_d")).withColumn("_nine", F.get(F.filter("_hours", lambda h: h["time"] == F.concat("_d.time", F.lit("T09:00"))), F.lit(0)))
     values = {"precipitation": "_d.precipitation_sum", "lowest": "_d.temperature_2m_min", "highest": "_d.temperature_2m_max", "code": "_d.weathercode", "temperature_09": "_nine.temperature_2m", "code_09": "_nine.weathercode"}
     empty = F.col("_d.precipitation_sum").isNull() & F.col("_d.temperature_2m_min").isNull() & F.col("_d.temperature_2m_max").isNull() & F.col("_nine").isNull()
