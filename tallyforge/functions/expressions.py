@@ -56,6 +56,18 @@ def violation_status(is_removed: Column, rejected: Column, fixed: Column, needs_
     return F.when(is_removed, "closed").when(F.coalesce(rejected, F.lit(False)), "rejected").when(F.coalesce(fixed, F.lit(False)) & ~F.coalesce(needs_design, F.lit(False)), "ready").when(F.coalesce(needs_design, F.lit(False)), "needs_design").otherwise("open")
 
 
+def pipe_stage(ks2: Column, signed: Column, estimate: Column, sent: Column, check: Column) -> Column:
+    """The stage of a folder in the pipe of execution: billed, signed with or without an estimate, checked, formed."""
+    return F.when(ks2.isNotNull(), "ks2_current").when(signed.isNotNull() & estimate.isNotNull(), "ks2_next").when(signed.isNotNull(), "signed").when(sent.isNotNull() | check.isNotNull(), "checking").otherwise("formed")
+
+
+def finding_state(is_removed: Column, rejected: Column, physical: Column, design: Column, documents: Column) -> Column:
+    """The state of a finding by its three tracks: ready where each is done or not required, waiting for the design where that is not done or the physical one says fact."""
+    over = lambda track: F.coalesce(track.isin("done", "not_required"), F.lit(False))
+    waits = F.coalesce(design == "not_done", F.lit(False)) | F.coalesce(physical == "fact", F.lit(False))
+    return F.when(is_removed, "closed").when(F.coalesce(rejected, F.lit(False)), "rejected").when(over(physical) & over(design) & over(documents), "ready").when(waits, "needs_rd").otherwise("open")
+
+
 def deviation_class(days: Column) -> Column:
     return F.when(days <= 0, "ok").when(days <= 7, "risk").otherwise("danger")
 

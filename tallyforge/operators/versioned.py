@@ -28,12 +28,18 @@ def latest_value(rows: DataFrame, keys: Sequence[str], value: str, order: Sequen
 
 
 def asof_grid(log: DataFrame, grid: DataFrame, key: str, date: str, cutoff: str, value: str, order: Sequence[str]) -> DataFrame:
-    """For each key and each cutoff of a small grid, the value of the newest entry on or before it (null if none)."""
-    keys = log.select(key).distinct()
-    cells = keys.crossJoin(F.broadcast(grid))  # a calendar of a stated period
-    seen = log.select(key, date, value, *(c for c in order if c not in (key, date, value)))
-    joined = cells.join(seen, [key]).where(F.col(date) <= F.col(cutoff)).groupBy(key, *grid.columns).agg(F.max_by(value, F.struct(date, *order)).alias(value))
-    return cells.join(joined, [key, *grid.columns], "left")
+    """For each key and each cutoff of a small grid, the value of the newest entry on or before it (null if none).
+
+    Entries and cutoffs of a key go by in one order, a cutoff after the entries of its day,
+    so no entry meets more than one row.
+    """
+    cells = log.select(key).distinct().crossJoin(F.broadcast(grid))  # a calendar of a stated period
+    by = [f"_by{i}" for i, c in enumerate(order)]
+    entries = log.select(key, F.col(date).alias("_at"), F.lit(0).alias("_cell"), *(F.col(c).alias(b) for c, b in zip(order, by)), F.struct(F.col(value).alias("v")).alias("_entry"))
+    asked = cells.select(key, F.col(cutoff).alias("_at"), F.lit(1).alias("_cell"), F.struct(*grid.columns).alias("_grid"))
+    before = Window.partitionBy(key).orderBy("_at", "_cell", *by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = entries.unionByName(asked, allowMissingColumns=True).withColumn("_last", F.last("_entry", True).over(before))
+    return seen.where("_cell = 1").select(key, *(F.col(f"_grid.{c}").alias(c) for c in grid.columns), F.col("_last.v").alias(value))
 
 
 def decreases(rows: DataFrame, key: str, date: str, value: str) -> DataFrame:
@@ -44,9 +50,10 @@ def decreases(rows: DataFrame, key: str, date: str, value: str) -> DataFrame:
 
 
 def islands(days: DataFrame, key: str, date: str) -> DataFrame:
-    """Unbroken runs of a key's dates; a weekend does not break one.  key, island, first_day, last_day, days."""
+    """Unbroken runs of a key's dates with a plan (planned above 0, where there is that column); a weekend does not break one.  key, island, first_day, last_day, days."""
     from ..functions.calendar import working_days
 
+    days = days.where("planned > 0") if "planned" in days.columns else days
     w = Window.partitionBy(key).orderBy(date)
     gap = working_days(F.lag(date).over(w), F.date_sub(date, 1))
     marked = days.select(key, date).distinct().withColumn("_new", F.when(F.lag(date).over(w).isNull() | (gap > 0), 1).otherwise(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.expressions import folder_cost, overdue_days, status_tier
+from ..functions import expressions as ex
 from ..operators import findings as fd
 from ..operators import progress as pg
 from ..operators.forecast import day
@@ -151,6 +152,28 @@ def violation_latest_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.latest_items(r.findings(spark, sf_dir)).select("finding_id", "act_id", "item_no", "responsible_id")
 
 
+TRACKS = ("done", "not_required", "not_done", "fact", "unknown")
+
+
+@query(f"""with t as (select l_orderkey, l_linenumber, l_returnflag = 'R' and l_linestatus = 'F' as gone, l_quantity > 45 as rejected, {list(TRACKS)}[l_suppkey % 5 + 1] as phys, {list(TRACKS)}[l_partkey % 3 + 1] as design, {list(TRACKS)}[l_orderkey % 2 + 1] as docs from lineitem),
+ s as (select case when gone then 'closed' when rejected then 'rejected' when phys in ('done', 'not_required') and design in ('done', 'not_required') and docs in ('done', 'not_required') then 'ready' when design = 'not_done' or phys = 'fact' then 'needs_rd' else 'open' end as state, phys, design from t)
+ select state, phys, design, count(*) as findings from s group by all""")
+def finding_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by their state, as three tracks give it, and by two of the tracks."""
+    track = lambda c, n: F.element_at(F.array(*map(F.lit, TRACKS)), (F.col(c) % n + 1).cast("int"))
+    rows = r.read(spark, sf_dir, "lineitem").select(((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("gone"), (F.col("l_quantity") > 45).alias("rejected"), track("l_suppkey", 5).alias("phys"), track("l_partkey", 3).alias("design"), track("l_orderkey", 2).alias("docs"))
+    state = ex.finding_state(F.col("gone"), F.col("rejected"), F.col("phys"), F.col("design"), F.col("docs"))
+    return rows.groupBy(state.alias("state"), "phys", "design").agg(F.count("*").alias("findings"))
+
+
+@query(f"""with {r.FOLDERS} select case when paid is not null then 'ks2_current' when signed is not null and estimate is not null then 'ks2_next' when signed is not null then 'signed' when sent is not null or checked is not null then 'checking' else 'formed' end as stage,
+ count(*) as folders, cast(coalesce(sum(amount), 0) as decimal(28,2)) as amount from folders group by 1""")
+def folder_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders by the stages of the pipe of execution."""
+    stage = ex.pipe_stage(F.col("paid"), F.col("signed"), F.col("estimate"), F.col("sent"), F.col("checked"))
+    return r.folders(spark, sf_dir).groupBy(stage.alias("stage")).agg(F.count("*").alias("folders"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("amount"))
+
+
 @query(f"with {LATEST_ITEM} select state, count(*) as findings from stated group by 1")
 def violation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated(spark, sf_dir).groupBy("state").agg(F.count("*").alias("findings"))

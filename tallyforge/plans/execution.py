@@ -303,7 +303,7 @@ def derived_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.works(spark, sf_dir).select("work_id", work_status(F.col("pct")).alias("status"))
 
 
-@query(f"""with {r.CREWS}, d as (select distinct work_id, date from crews), m as (select *, lag(date) over (partition by work_id order by date) as before from d),
+@query(f"""with {r.CREWS}, d as (select distinct work_id, date from crews where planned > 0), m as (select *, lag(date) over (partition by work_id order by date) as before from d),
  g as (select work_id, date, case when before is null or (select count(*) from range(before + 1, date, interval 1 day) x(y) where isodow(y) < 6) > 0 then 1 else 0 end as fresh from m),
  i as (select *, sum(fresh) over (partition by work_id order by date) as island from g) select work_id, cast(island as int) as island, min(date) as first_day, max(date) as last_day, count(*) as days from i group by 1, 2""")
 def plan_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
