@@ -54,6 +54,26 @@ def test_shards_of_a_table_are_balanced(spark, sf_dir):
     assert len(got) == 8 and all(abs(r.n - total / 8) <= most for r in got)
 
 
+def test_shards_of_a_table_by_prefix_sums(spark, sf_dir):
+    """Every row's shard, slot and checksum, from sums over the sorted table."""
+    rows = sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    total, upto, want, held = sum(n for _, n, _ in rows), 0, set(), Counter()
+    for doc, n, crc in rows:
+        upto += n
+        shard = min((2 * upto - n) * 8 // (2 * total), 7)
+        want.add((doc, n, crc, "bytes", shard, held[shard], None))
+        held[shard] += 1
+    assert {tuple(r) for r in QUERIES["op1_sharding"](spark, sf_dir).collect()} == want
+
+
+def test_quality_rules_keep_most_good_rows(spark):
+    """Of rows labelled good that pass the base rules at most 8 % go as outliers (5.8 % when written); all labelled bad go."""
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op5_quality_rules"](spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    kept = {r.quality: (r.kept, r.n) for r in got}
+    assert kept[1][1] > 200 and kept[1][0] > 0.92 and kept[0][0] == 0.0
+
+
 def test_packing(nasty, rows):
     words = WordTokens(None)
     got = pack(nasty, window=64, end_id=1).collect()
