@@ -63,6 +63,26 @@ def test_audit_of_changes(spark, folder):
     assert again.count() == len(want)  # nothing new came
 
 
+def test_keys_of_streams_need_no_python(spark, tmp_path):
+    """Newest rows are held by Spark's own aggregation; a row that comes again sends nothing out."""
+    at = dt.datetime(2024, 1, 1)
+    parts = [[(1, "a", "web", at, 1, 5, 2, "x"), (2, "a", "web", at, 2, None, 1, "x")], [(1, "a", "web", at, 1, 5, 2, "x"), (2, "a", "excel", at - dt.timedelta(1), 0, 7, 0, "x")]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = st.merge_channels(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["k", "day"], "channel", ["ts", "id"], "plan", "fact")
+        assert "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+        got = st.run_to_end(stream, "update", str(tmp_path / "at"))
+    assert sorted((r.k, r.batch, r.id, r.plan) for r in got.collect()) == [(1, 0, 1, 5), (2, 0, 2, None), (2, 1, 2, 7)]
+
+
+def test_audit_steps_need_no_python(spark, tmp_path):
+    spark.createDataFrame([(1, "a", "web", dt.datetime(2024, 1, 1), 1, None, 2, 'é"')], SCHEMA).write.parquet(str(tmp_path / "in"))
+    feed = st.audit_feed(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), ["k", "day"], ["ts", "id"], ["plan", "extra", "ts"])
+    events, newest = feed.step(spark.read.schema(SCHEMA).parquet(str(tmp_path / "in")).select(feed.entries.columns), None)
+    assert "Python" not in events._jdf.queryExecution().executedPlan().toString()
+    assert [r.new_row for r in events.collect()] == ['{"plan": null, "extra": "é\\"", "ts": "2024-01-01 00:00:00"}'] and newest.count() == 1
+
+
 def test_a_day_polled_twice_is_one_row(spark, tmp_path):
     def put(n, days, at, reply=None):
         body = reply or json.dumps({"daily": {"time": days, "precipitation_sum": [at] * len(days), "temperature_2m_min": [1.5] * len(days), "temperature_2m_max": [4.0] * len(days), "weathercode": [61] * len(days)}, "hourly": {"time": [f"{days[0]}T09:00"], "temperature_2m": [2.5], "weathercode": [3]}})
