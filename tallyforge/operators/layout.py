@@ -37,9 +37,10 @@ def records_of(cells: DataFrame, document: str, page: str, anchor_col: int, anch
 
 def pieces(line: Column) -> Column:
     """The words of a line that single spaces part, with the places where they begin (from 0)."""
-    parts = F.split(line, " ")
-    begin = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, p: n + F.length(p) + 1)
-    return F.filter(F.transform(parts, lambda p, i: F.struct(begin(i).alias("at"), p.alias("word"))), lambda x: x["word"] != "")
+    parts = F.filter(F.split(line, " "), lambda p: p != "")
+    begin = lambda chars: F.filter(F.transform(chars, lambda c, i: F.when((c != " ") & (c != "") & ((i == 0) | (F.get(chars, i - 1) == " ")), i)), lambda i: i.isNotNull())
+    begins = F.get(F.transform(F.array(F.split(line, "")), begin), 0)  # the characters are bound once, so it is linear in the line
+    return F.zip_with(begins, parts, lambda at, word: F.struct(at.alias("at"), word.alias("word")))
 
 
 def to_columns(lines: DataFrame, document: str, header: str, value: str, tolerance: int) -> DataFrame:

@@ -34,3 +34,12 @@ def test_headings_reset_those_below(spark):
     section = F.when(F.col("head").startswith("S"), F.col("head"))
     got = ly.under_headings(df, "sheet", "n", section, F.when(section.isNull(), F.col("head"))).orderBy("n").collect()
     assert [(r.n, r.section, r.subsection) for r in got] == [(2, "S1", None), (4, "S1", "a"), (6, "S2", None), (8, "S2", "b"), (9, "S2", "b")]
+
+
+def test_pieces_of_a_long_line(spark):
+    """Places take time in proportion to a line; counting each from its line's begin took its square."""
+    line = "  é𝄞 b   " + "word " * 40000
+    got = spark.createDataFrame([(line,), ("",), (" ",), ("a",)], "line string").select(ly.pieces(F.col("line")).alias("w"))
+    rows = [[(x.at, x.word) for x in r.w] for r in got.collect()]
+    assert rows[0] == [(2, "é𝄞"), (5, "b"), *((9 + 5 * k, "word") for k in range(40000))] and rows[1:] == [[], [], [(0, "a")]]
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
