@@ -146,6 +146,21 @@ def test_phrases(spark):
     assert frequent_phrases(df.limit(0), "id", "text").count() == 0
 
 
+def test_phrases_shuffle_no_ids(spark, monkeypatch):
+    """Runs are counted without their texts' ids where ids are single; repeated ids count once."""
+    from pyspark.sql import DataFrame
+
+    plans, of = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a: plans.append(self._jdf.queryExecution().executedPlan().toString()) or of(self, *a))
+    rows = [(i, "a b c d" if i % 2 else "x a b c") for i in range(10)]
+    want = [("a b c", 3, 10)]
+    once = frequent_phrases(spark.createDataFrame(rows, "id int, text string"), "id", "text", 0.6, 2)
+    assert [tuple(r) for r in once.collect()] == want
+    assert not [p for p in plans if "hashpartitioning(_id" in p]
+    twice = frequent_phrases(spark.createDataFrame([*rows, *rows[:2]], "id int, text string"), "id", "text", 0.6, 2)
+    assert [tuple(r) for r in twice.collect()] == want
+
+
 def test_stripping_falls_back(spark):
     got = spark.createDataFrame([("a b the wall is wet and old a b",), ("a b c d",), (None,)], "t string").select(similarity.strip_phrases(F.col("t"), ["a b", "zz"]).alias("s")).collect()
     assert [r.s for r in got] == ["the wall is wet and old", "a b c d", None]
