@@ -202,3 +202,25 @@ def test_texts_of_states_and_places(spark):
 def test_bench_selects_every_kind_of_query():
     names = ["op10_b", "open_blocks", "scurve", "op2_a", "pipeline", "op_x", "options"]
     assert bench.selected(names) == ["scurve", "op2_a", "op10_b", "pipeline"]
+
+
+def test_ratio_is_difflibs_or_less_than_needed():
+    rng = random.Random(5)
+    for _ in range(600):
+        letters = rng.choice(["ab", "abcde", "abcdefghijklmnopqrstuvwxyz     eee", "é€x y"])
+        a, b = ("".join(rng.choices(letters, k=rng.choice([0, 1, 7, 8, 9, 16, 40, 199, 200, 260]))) for _ in range(2))
+        if a and rng.random() < 0.5:  # a copy with its halves exchanged and a few letters more
+            k = rng.randrange(len(a))
+            b = a[k:] + rng.choice(letters) + a[:k]
+        want, need = ratio(a, b), rng.random()
+        assert similarity.ratio(a, b) == want
+        assert similarity.ratio(a, b, need) == want if want >= need else similarity.ratio(a, b, need) < need
+
+
+def test_equal_texts_of_a_pool_meet_in_one_task(spark):
+    records = spark.createDataFrame([(1, "crack in the wall"), (2, "pipe")], "record int, a string")
+    pool = spark.createDataFrame([(n, "crack in a wall" if n % 2 else "pipes") for n in range(40)], "candidate long, b string").repartition(8, "candidate")
+    got = similarity.scan(records, pool, 0.5)
+    assert got.groupBy("record", "score").count().count() == 2 and got.count() == 40
+    dealt = got.select(F.spark_partition_id().alias("part"), (F.col("candidate") % 2).alias("odd")).distinct()
+    assert dealt.count() == 2  # equal texts meet in one task
