@@ -242,3 +242,11 @@ def test_critical_works(spark):
 def test_remarks_with_a_common_prefix(spark):
     rows = spark.createDataFrame([("g", "crack in wall 1"), ("g", "crack in wall 2"), ("g", "crack in wall 2"), ("g", None)], "g string, t string")
     assert reports.remarks(rows, "g", "t", 5).first().remarks == "crack…; crack…"
+
+
+def test_islands_of_a_large_table_take_more_tasks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, dt.date(2024, 1, 1) + dt.timedelta(days=3 * d)) for k in range(40) for d in range(5)] * 2, "k int, day date")
+    want = sorted(versioned.islands(rows, "k", "day").collect())
+    monkeypatch.setattr(versioned, "ROWS_EACH", 20, raising=False)
+    got = versioned.islands(rows, "k", "day")
+    assert sorted(got.collect()) == want and got.rdd.getNumPartitions() == 21
