@@ -224,3 +224,22 @@ def test_equal_texts_of_a_pool_meet_in_one_task(spark):
     assert got.groupBy("record", "score").count().count() == 2 and got.count() == 40
     dealt = got.select(F.spark_partition_id().alias("part"), (F.col("candidate") % 2).alias("odd")).distinct()
     assert dealt.count() == 2  # equal texts meet in one task
+
+
+def test_words_of_norms_are_found_once(spark):
+    """However often a match needs them, each norm's text is looked at once."""
+    shared_folder(spark)
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        looked.add(1)
+        return text.split()
+
+    side = lambda rows, key: spark.createDataFrame(rows, f"{key} int, text string, unit string").select(key, split("text").alias("words"), F.array(F.lit("1")).alias("numbers"), "unit", F.lit(None).cast("string").alias("polarity"), F.array().cast("array<int>").alias("materials"))
+    items = spark.createDataFrame([(1, ["brick", "wall"], "m2"), (2, ["pipe", "weld", "joint"], None)], "item_id int, words array<string>, unit string").withColumns({"numbers": F.array(F.lit("1")), "polarity": F.lit(None).cast("string"), "materials": F.array().cast("array<int>")})
+    rows = [(k, t, u) for k, (t, u) in enumerate([("brick wall", "m2"), ("brick wall", "m3"), ("pipe weld", "m3"), ("joint", "m2"), ("roof", "m2")])]
+    got = [(r.item_id, r.norm_id) for r in matching.jaccard_match(items, side(rows, "norm_id")).orderBy("item_id").collect()]
+    assert got == [(1, 0), (2, 2)] and looked.value == len(rows)
+    got = [(r.item_id, r.norm_id) for r in matching.overlap_match(items, side(rows, "norm_id")).orderBy("item_id").collect()]
+    assert got == [(1, 0), (2, 2)] and looked.value == 2 * len(rows)
