@@ -246,9 +246,9 @@ def by_one_part(rows: DataFrame, automaton: bytes | None, most_share: float) ->
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Items(*pickle.loads(cast.value)) if cast.value else None
         for batch in batches:
-            out, texts = [], batch["text"]
+            texts = batch["text"]
             for i, j, raw, offsets in runs(*buffers(texts), BLOCK_BYTES):
-                data = LOWER[raw]
+                out, data = [], LOWER[raw]
                 starts, ends, first = word_bounds(data, offsets, ALNUM)
                 owners: dict[int, set[int]] = {}
                 change = np.zeros(len(starts) + 1, np.int32)
@@ -260,7 +260,7 @@ def by_one_part(rows: DataFrame, automaton: bytes | None, most_share: float) ->
                 for k in range(j - i):
                     w, at = slice(first[k], first[k + 1]), offsets[k]
                     out.append(outcome(texts[i + k].as_py(), raw[at : offsets[k + 1]], starts[w] - at, ends[w] - at, hit[w], owners.get(k, set()), most_share))
-            yield found_batch({c: batch[c] for c in passed}, out)
+                yield found_batch({c: batch[c].slice(i, j - i) for c in passed}, out)
 
     return rows.mapInArrow(screen, with_found(rows, passed))
 

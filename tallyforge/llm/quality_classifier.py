@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_SPACE, buffers, runs, window_hashes, window_starts, word_bounds, word_hashes
+from .arrays import NOT_SPACE, buffers, give_back, runs, window_hashes, window_starts, word_bounds, word_hashes
 from .cells import settle
 
 #: Most rows of each sample that the network is fitted on.
@@ -224,9 +224,14 @@ def keep_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = N
     """The rows of docs, with all their columns, whose text scores threshold or more; otherwise as score_quality."""
     model = train(docs, labels, ~held_out if held_out is not None else F.lit(True), id_col=id_col, text_col=text_col)
 
+    def good(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, j, data, offsets in runs(*buffers(batch[text_col])):  # a run at a time, so no second batch stands beside the first
+            yield batch.slice(i, j - i).filter(pa.array(model.score(features(data, offsets)) >= threshold))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.score(features(data, offsets)) for _, _, data, offsets in runs(*buffers(batch[text_col]))]
-            yield batch.filter(pa.array(np.concatenate(rows) >= threshold if rows else [], pa.bool_()))
+            yield from good(batch)
+            del batch
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
