@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpus_pipeline import keep_one_of_each_group
 from tallyforge.llm.arrays import NOT_SPACE, buffers, ids, window_hashes, window_starts, word_bounds, word_hashes
 from tallyforge.llm.cells import deal, shared
 from tallyforge.llm.components import components
@@ -131,6 +132,19 @@ def test_jaccard(nasty, rows, big, tile):
     assert sorted(got, key=key) == expected_groups(rows, big)
 
 
+def test_jaccard_broadcasts_no_table(spark, nasty, rows, sf_dir, tmp_path):
+    """Tables that grow with the input meet by merge; none passes through the driver, however small it is here."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert jaccard_groups(nasty).count() == len(rows)
+    nasty.write.parquet(str(tmp_path / "docs"))
+    keep_one_of_each_group(spark, spark.read.parquet(str(tmp_path / "docs")), sf_dir).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())][before:]
+    assert plans and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
 def test_tile_bound_loses_nothing():
     rng = random.Random(3)
     sets = []
