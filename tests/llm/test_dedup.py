@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -199,3 +200,17 @@ def test_relay_of_the_exchange_changes_nothing(nasty):
 def test_rows_without_an_id_are_spread(spark):
     docs = spark.createDataFrame([(None, f"{i} " + "long text " * 20_000) for i in range(80)], "doc_id long, text string")
     assert deal(docs)[0].groupBy("cell").count().count() > 2
+
+
+def test_the_driver_returns_memory_at_steps_and_within_long_ones(spark, monkeypatch):
+    from tallyforge.llm import cells
+
+    cells.driver_gives_back(spark)  # the whole of it runs on this JVM
+    times = []
+    monkeypatch.setattr(cells, "driver_gives_back", times.append)
+    assert cells.settle(spark.range(10)).count() == 10
+    assert times == [spark]
+    monkeypatch.setattr(cells, "QUIET_S", 0.05)
+    with cells.quiet_driver(spark):
+        time.sleep(0.5)
+    assert len(times) > 3
