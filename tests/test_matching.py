@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,22 @@ def test_words_of_norms_are_found_once(spark):
     assert got == [(1, 0), (2, 2)] and looked.value == len(rows)
     got = [(r.item_id, r.norm_id) for r in matching.overlap_match(items, side(rows, "norm_id")).orderBy("item_id").collect()]
     assert got == [(1, 0), (2, 2)] and looked.value == 2 * len(rows)
+
+
+def test_runs_bound_what_difflib_matches():
+    """A long record's bound is never below the score, and far below the common subsequence's where texts only share letters."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    tight = 0
+    for n in range(300):
+        b = " ".join(rng.choices(words, k=rng.randrange(60, 120)))
+        a = rng.choice([lambda: " ".join(rng.choices(words, k=rng.randrange(90))), lambda: b[: rng.randrange(len(b))] + "x" + b[rng.randrange(len(b)) :], lambda: " ".join(sorted(b.split())), lambda: "ab" * rng.randrange(300), lambda: ""])()
+        b = rng.choice([b, "ab" * 150, "a" * 230, "abc" + b])
+        score = ratio(a, b)
+        assert similarity.ratio(a, b) == score
+        block = similarity.Block([0], [b])
+        bound = similarity.Scorer(block, a, "chars", False, 0.0).bound[0]
+        assert bound >= score
+        common = block.tighter("whole", np.ones(1), a, 0.0, True)[0]
+        tight += bound < 0.6 * common
+    assert tight > 30
