@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_folder, spread
 
 
 def run_of(n: int) -> Callable[[Column], Column]:
@@ -25,7 +25,7 @@ def frequent_phrases(texts: DataFrame, key: str, text: str, least_share: float =
     only counts of runs are shuffled, and where ids repeat, the runs of each id.
     """
     shared_folder(texts.sparkSession)
-    rows = texts.select(F.col(key).alias("_id"), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "").alias("_words")).checkpoint()  # else the words would be split anew for each place
+    rows = spread(texts.select(key, text)).select(F.col(key).alias("_id"), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "").alias("_words")).checkpoint()  # else the words would be split anew for each place
     number, ids = rows.agg(F.count("*"), F.count_distinct("_id")).first()
     least, once = least_share * number, number == ids
     places = rows.withColumn("_at", F.sequence(F.lit(1), F.size("_words"))).where(F.size("_words") > 0)

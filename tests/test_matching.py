@@ -263,3 +263,12 @@ def test_runs_bound_what_difflib_matches():
         common = block.tighter("whole", np.ones(1), a, 0.0, True)[0]
         tight += bound < 0.6 * common
     assert tight > 30
+
+
+def test_one_file_is_dealt_to_all_cores(spark):
+    from tallyforge.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spread(spark.range(100).coalesce(1))
+    assert rows.rdd.getNumPartitions() >= cores and {r.id for r in rows.collect()} == set(range(100))
+    assert spread(spark.range(100, numPartitions=cores + 1)).rdd.getNumPartitions() == cores + 1
