@@ -272,3 +272,25 @@ def test_one_file_is_dealt_to_all_cores(spark):
     rows = spread(spark.range(100).coalesce(1))
     assert rows.rdd.getNumPartitions() >= cores and {r.id for r in rows.collect()} == set(range(100))
     assert spread(spark.range(100, numPartitions=cores + 1)).rdd.getNumPartitions() == cores + 1
+
+
+def test_equal_texts_are_scored_once_over_all_batches(spark, tmp_path, monkeypatch):
+    """Copies of a text in many batches cost one comparison, and each still gets its pair."""
+    log = tmp_path / "scored"
+    scorer = similarity.Scorer.__init__
+
+    def noted(self, block, text, *args):
+        with log.open("a") as out:
+            out.write(f"{text}\n")
+        scorer(self, block, text, *args)
+
+    monkeypatch.setattr(similarity.Scorer, "__init__", noted)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        pool = spark.range(120).select(F.col("id").alias("candidate"), F.concat(F.lit("a wall with crack "), F.col("id") % 3).alias("b"))
+        found = similarity.scan(spark.createDataFrame([(1, "a wall with crack 1")], "record long, a string"), pool, 0.55).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert sorted(r.candidate for r in found) == list(range(120))
+    assert len(log.read_text().split("\n")) - 1 == 3
